@@ -16,7 +16,9 @@ A document's rank among those of its length, computed per (length, salt), then l
 from __future__ import annotations
 
 import bisect
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -28,11 +30,18 @@ from .common import checkpointed, record_batch, small_or_plain
 
 END_ID = 2
 #: Entries of a worker's memo of word encodings.
-MEMO = 400_000
+MEMO = 1_000_000
 #: Rows of one (length, salt) that are ranked together, about.
 RANKED = 100_000
 
 
+def _little_endian(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class _Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes, by a byte-level BPE file of the tokenizers library.
 
@@ -63,8 +72,8 @@ class _Encoder:
                 memo = self.memo = {}
                 new = list(set(words))
             for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([memo[w] for w in words])
+                memo[w] = _little_endian(e.ids)
+        return b"".join(map(memo.__getitem__, words))
 
 
 def _pieces(path: str | None, pattern: str | None, capacity: int, with_ids: bool):
