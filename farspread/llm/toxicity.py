@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, record_batch
+from .common import ASCII_LOWER, checkpointed, record_batch
 from .common import WORD as _WORD
 
 #: Confirmed and unlabelled texts that a fit takes at most: those with the smallest hashes of their ids.
@@ -26,34 +26,16 @@ def words_of(text: str | None) -> set[str]:
     return {w.strip(_EDGES) for w in _WORD.findall(text.translate(ASCII_LOWER))} - {""} if text else set()
 
 
-def fit_nnpu(positive: list[set[str]], unlabelled: list[set[str]], prior: float, *, least: int = 5, size: int = 4000, rounds: int = 120, batches: int = 8, rate: float = 0.7, decay: float = 1e-5, seed: int = 7) -> dict[str, float]:
-    """Word weights and the bias (under the empty word) from texts as sets of words.
-
-    The vocabulary is the ``size`` words of at least ``least`` positive texts that are most over-represented there.
-    """
+def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], words: list[str], prior: float, *, rounds: int = 120, batches: int = 8, rate: float = 0.7, decay: float = 1e-5, seed: int = 7) -> dict[str, float]:
+    """Word weights and the bias (under the empty word) from texts as lists of numbers of the words that they have."""
     if not positive or not unlabelled:
         return {"": -20.0}
-    counts_p, counts_u = {}, {}
-    for texts, counts in ((positive, counts_p), (unlabelled, counts_u)):
-        for t in texts:
-            for w in t:
-                counts[w] = counts.get(w, 0) + 1
     np_, nu = len(positive), len(unlabelled)
 
-    def excess(w):
-        a, b = (counts_p[w] + 0.5) / (np_ + 1), (counts_u.get(w, 0) + 0.5) / (nu + 1)
-        pooled = (counts_p[w] + counts_u.get(w, 0) + 1) / (np_ + nu + 2)
-        return (a - b) / np.sqrt(pooled * (1 - pooled) * (1 / np_ + 1 / nu) + 1e-12)
-
-    known = sorted((w for w, c in counts_p.items() if c >= min(least, max(1, np_ // 50))), key=lambda w: (-excess(w), w))
-    words = [w for w in known if excess(w) > 4.0][:size]
-    index = {w: i for i, w in enumerate(words)}
-
     def matrix(texts):
         out = np.zeros((len(texts), len(words) + 1), np.float32)
         out[:, -1] = 1
-        for i, t in enumerate(texts):
-            own = [index[w] for w in t if w in index]
+        for i, own in enumerate(texts):
             out[i, own] = 1
         return out
 
@@ -89,11 +71,12 @@ def fit_nnpu(positive: list[set[str]], unlabelled: list[set[str]], prior: float,
     return {**dict(zip(words, w[:-1].tolist(), strict=True)), "": float(w[-1])}
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, positives: int = SAMPLE_POSITIVE, unlabelled: int = SAMPLE_UNLABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> dict[str, float]:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, positives: int = SAMPLE_POSITIVE, unlabelled: int = SAMPLE_UNLABELLED, least: int = 5, size: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> dict[str, float]:
     """Word weights from confirmed toxic texts (label 1) and a sample of all other rows, whose labels aren't looked at.
 
     The class prior among the unlabelled is a parameter; without one it is the share of toxic labels. Null ids and labels
-    that aren't 0 or 1 don't count. Without a confirmed text every score is near 0.
+    that aren't 0 or 1 don't count. The vocabulary is the ``size`` words of at least ``least`` confirmed texts that are
+    most over-represented there; the driver gets these and the numbers of those that each sampled text has. Without a confirmed text every score is near 0.
     """
     marked = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
     if prior is None:
@@ -106,16 +89,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, prior: float | None = No
     others = base.select("_id").where("_id is not null").orderBy(F.xxhash64(F.lit("u"), "_id"), "_id").limit(unlabelled).distinct()
     u = base.join(F.broadcast(others), "_id").select("text")  # at most `unlabelled` ids
 
-    def vocabulary(df: DataFrame) -> list[set[str]]:
-        schema = pa.schema([("words", pa.list_(pa.string()))])
+    schema = pa.schema([("words", pa.list_(pa.string()))])
 
-        def run(batches):
-            for batch in batches:
-                yield record_batch(schema, [sorted(words_of(t)) for t in batch.column(0).to_pylist()])
-
-        return [set(r.words) for r in df.mapInArrow(run, "words array<string>").toLocalIterator()]
+    def split(batches):
+        for batch in batches:
+            yield record_batch(schema, [sorted(words_of(t)) for t in batch.column(0).to_pylist()])
+
+    p, u = (checkpointed(df.mapInArrow(split, "words array<string>")) for df in (p, u))
+    n_p, n_u = p.count(), u.count()
+    if not n_p or not n_u:
+        return fit_nnpu([], [], [], prior)
+    # The words that the two samples differ in most, in standard errors of the difference.
+    count = lambda df, name: df.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias(name))
+    both = count(p, "a").where(F.col("a") >= min(least, max(1, n_p // 50))).join(count(u, "b"), "word", "left").fillna(0, ["b"])
+    share = (F.col("a") + F.col("b") + 1) / (n_p + n_u + 2)
+    excess = ((F.col("a") + 0.5) / (n_p + 1) - (F.col("b") + 0.5) / (n_u + 1)) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
+    words = [r.word for r in both.withColumn("x", excess).where("x > 4").orderBy(F.desc("x"), "word").limit(size).collect()]
+    known = {w: i for i, w in enumerate(words)}
+    numbers = pa.schema([("own", pa.list_(pa.int32()))])
+
+    def number(batches):
+        for batch in batches:
+            yield record_batch(numbers, [[known[w] for w in ws if w in known] for ws in batch.column(0).to_pylist()])
 
-    return fit_nnpu(vocabulary(p), vocabulary(u), prior, **options)
+    xp, xu = ([list(r.own) for r in df.mapInArrow(number, "own array<int>").collect()] for df in (p, u))
+    return fit_nnpu(sorted(xp), sorted(xu), words, prior, **options)
 
 
 def score_toxicity(docs: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
