@@ -41,7 +41,7 @@ def small_or_plain(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def byte_slices(texts: list[str | None], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def byte_slices(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of a batch that hold about limit characters; a longer text stands alone."""
     start, size = 0, 0
     for i, t in enumerate(texts):

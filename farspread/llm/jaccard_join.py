@@ -214,7 +214,7 @@ def _meet(t: Fraction):
         for length in np.unique(counts[counts <= 32]):
             at = offset[counts == length]
             i, j = np.triu_indices(length, 1)
-            step = max(1, 500_000 // len(i))
+            step = max(1, 200_000 // len(i))
             for k in range(0, len(at), step):
                 part = number[at[k : k + step, None] + np.arange(length)]
                 a, b, _ = check(part[:, i].ravel(), part[:, j].ravel())
