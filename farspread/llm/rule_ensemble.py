@@ -168,6 +168,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], *, trees: int = 24
         held = _holds(rule, x, names)
         columns.setdefault(np.packbits(held).tobytes(), rule)
     kept = list(columns.values())
+    if not kept:  # too few rows to split
+        return Rules((), (), float(np.log(y.mean() / (1 - y.mean()))))
     a = np.column_stack([_holds(r, x, names) for r in kept]).astype(float)
     scale = np.maximum(a.std(0), 0.02)
     w, intercept = _lasso((a - a.mean(0)) / scale, y, strength)
