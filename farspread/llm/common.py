@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ def small_or_plain(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def byte_slices(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def byte_slices(texts: list[str | None], limit: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of a batch that hold about limit characters; a longer text stands alone."""
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -54,6 +55,27 @@ def byte_slices(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tup
         yield start, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what a function holds for each row of a batch stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, and after it free memory goes back to the system: Python workers live on and would keep their largest task's."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return tidy
+
+
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, ragged, record_batch, runs, small_or_plain
+from .common import checkpointed, connected_components, ragged, record_batch, released, runs, slices, small_or_plain
 from .shingles import mix, shingle_sets
 
 ORDERS = 3
@@ -80,7 +80,7 @@ def _survey(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
         any_rows = False
-        for batch in batches:
+        for batch in slices(batches):
             any_rows = True
             sets = shingle_sets(batch.column(1).to_pylist(), n)
             for s in sets:
@@ -127,7 +127,7 @@ def _postings(n: int, t: Fraction, per: int, sketch):
 
     def run(batches):
         counts = sketch.value
-        for batch in batches:
+        for batch in slices(batches):
             token, node, size, hist = [], [], [], []
             known: set[int] = set()
             for s in shingle_sets(batch.column(0).to_pylist(), n):
@@ -351,15 +351,15 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, threshold: str | float =
     t = Fraction(str(threshold))
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    surveyed = checkpointed(base.mapInArrow(_survey(n), "doc_id long, n_shingles long, d1 long, d2 long, part int, counts binary"))
+    surveyed = checkpointed(base.mapInArrow(released(_survey(n)), "doc_id long, n_shingles long, d1 long, d2 long, part int, counts binary"))
     sketch = spark.sparkContext.broadcast(_sketch(surveyed))
     rows = surveyed.where("part is null").select("doc_id", "n_shingles", "d1", "d2")
     nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n_shingles").alias("n"))
     nodes = checkpointed(nodes)
 
-    posted = base.where("doc_id is not null").select("text").mapInArrow(_postings(n, t, per_bucket, sketch), "token long, node long, size int, hist binary")
+    posted = base.where("doc_id is not null").select("text").mapInArrow(released(_postings(n, t, per_bucket, sketch)), "token long, node long, size int, hist binary")
     dealt = posted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
-    candidates = dealt.mapInArrow(_meet(t), "a long, b long").distinct()
+    candidates = dealt.mapInArrow(released(_meet(t)), "a long, b long").distinct()
     classes = connected_components(candidates)
 
     members = nodes.join(classes.withColumnRenamed("node", "d1"), "d1")
@@ -370,7 +370,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, threshold: str | float =
     cells = found.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     cells = cells.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "d1", "d2", "mult", "block", "text")
     cells = cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    verified = checkpointed(cells.mapInArrow(_verify(n, t, sketch), "a long, b long, links long"))
+    verified = checkpointed(cells.mapInArrow(released(_verify(n, t, sketch)), "a long, b long, links long"))
 
     # Rows that repeat an id tie the sets of their texts together.
     repeated = rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")

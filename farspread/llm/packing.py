@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, record_batch, small_or_plain
+from .common import checkpointed, record_batch, released, slices, small_or_plain
 
 END_ID = 2
-#: Entries of a worker's memo of word encodings.
-MEMO = 1_000_000
+#: Entries of each of the two generations of a worker's memo of word encodings.
+MEMO = 200_000
 #: Rows of one (length, salt) that are ranked together, about.
 RANKED = 100_000
 
@@ -46,6 +46,7 @@ class _Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes, by a byte-level BPE file of the tokenizers library.
 
     The file's own pre-tokeniser cuts a text into words that are encoded one by one, so the encoding of a word is kept.
+    The memo has two generations: a full one becomes the old one, and words of the old one that come again move over.
     """
 
     _of: dict[str, _Encoder] = {}
@@ -55,6 +56,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.find, self.memo = Tokenizer.from_file(path), regex.compile(pattern).findall, {}
+        self.old: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     @classmethod
@@ -68,9 +70,12 @@ class _Encoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words, memo = self.find(text), self.memo
         if new := [w for w in set(words) if w not in memo]:
-            if len(memo) + len(new) > MEMO:
-                memo = self.memo = {}
-                new = list(set(words))
+            if memo and len(memo) + len(new) > MEMO:
+                self.old, memo = memo, {}
+                self.memo, new = memo, list(set(words))
+            old = self.old
+            memo.update([(w, old[w]) for w in new if w in old])
+            new = [w for w in new if w not in memo]
             for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
                 memo[w] = _little_endian(e.ids)
         return b"".join(map(memo.__getitem__, words))
@@ -87,7 +92,7 @@ def _pieces(path: str | None, pattern: str | None, capacity: int, with_ids: bool
         import public_tokenizers
 
         encoder = _Encoder.get(path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = (encoder.encode(text) if text else b"") + end
@@ -259,7 +264,7 @@ def pack(docs: DataFrame, *, capacity: int = 1024, tokenizer: str | None = None,
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = base.mapInArrow(_pieces(tokenizer, pattern, capacity, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    pieces = base.mapInArrow(released(_pieces(tokenizer, pattern, capacity, with_ids)), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
     pieces = checkpointed(pieces)
     salts = max(16, pieces.count() // RANKED)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))

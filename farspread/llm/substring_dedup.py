@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, checkpointed, record_batch
+from .common import byte_slices, checkpointed, record_batch, released, slices
 from .shingles import _BYTE, _SEPARATOR
 
 #: A null id orders after every other.
@@ -76,7 +76,7 @@ def _chunks(shape: dict):
     schema = pa.schema([("doc", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("seq", pa.int32())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             docs, digests, seqs = [], [], []
             ids = batch.column(0).to_pylist()
             for doc, (data, ends) in zip(ids, chunk_bounds(batch.column(1).to_pylist(), **shape), strict=True):
@@ -97,7 +97,7 @@ def _rewrite(shape: dict, least_run: int):
     """(row, text) becomes (row, what is left of the text, counts, spans); seqs: chunks that an earlier document has."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, counts, spans = [], [], []
             original = batch.column("text").to_pylist()
             for text, elsewhere, (data, ends) in zip(original, batch.column("seqs").to_pylist(), chunk_bounds(original, **shape), strict=True):
@@ -147,12 +147,12 @@ def dedup_substrings(docs: DataFrame, *, bits: int = 2, least: int = 32, most: i
     shape = {"bits": bits, "least": least, "most": most}
     added = ["n_chunks", "n_repeated_chunks", "bytes_cut", "cut_spans"]
     doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
-    chunks = docs.select(doc.alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_chunks(shape), "doc long, h1 long, h2 long, seq int")
+    chunks = docs.select(doc.alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(released(_chunks(shape)), "doc long, h1 long, h2 long, seq int")
     firsts = chunks.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h1", "h2", "first")
     firsts = checkpointed(firsts)
     repeated = chunks.join(firsts, ["h1", "h2"]).where("doc <> first").groupBy("doc").agg(F.collect_set("seq").alias("seqs"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), doc.alias("doc"))
     rows = rows.join(repeated, "doc", "left").select("row", "text", "seqs")
-    out = rows.mapInArrow(_rewrite(shape, least_run), f"row {rows.schema['row'].dataType.simpleString()}, text string, n_chunks long, n_repeated_chunks long, bytes_cut long, cut_spans array<long>")
+    out = rows.mapInArrow(released(_rewrite(shape, least_run)), f"row {rows.schema['row'].dataType.simpleString()}, text string, n_chunks long, n_repeated_chunks long, bytes_cut long, cut_spans array<long>")
     columns = [F.col("text") if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c not in added]
     return out.select(*[x.alias(c) for x, c in zip(columns, [c for c in docs.columns if c not in added], strict=True)], *added)
