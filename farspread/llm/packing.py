@@ -30,7 +30,7 @@ from .common import checkpointed, record_batch, released, slices, small_or_plain
 
 END_ID = 2
 #: Entries of each of the two generations of a worker's memo of word encodings.
-MEMO = 200_000
+MEMO = 350_000
 #: Rows of one (length, salt) that are ranked together, about.
 RANKED = 100_000
 
