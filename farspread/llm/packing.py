@@ -30,7 +30,7 @@ from .common import checkpointed, record_batch, released, slices, small_or_plain
 
 END_ID = 2
 #: Entries of each of the two generations of a worker's memo of word encodings.
-MEMO = 350_000
+MEMO = 500_000
 #: Rows of one (length, salt) that are ranked together, about.
 RANKED = 100_000
 
@@ -76,7 +76,7 @@ class _Encoder:
             old = self.old
             memo.update([(w, old[w]) for w in new if w in old])
             new = [w for w in new if w not in memo]
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 memo[w] = _little_endian(e.ids)
         return b"".join(map(memo.__getitem__, words))
 
