@@ -16,6 +16,7 @@ A document's rank among those of its length, computed per (length, salt), then l
 from __future__ import annotations
 
 import bisect
+import re
 import sys
 import zlib
 from array import array
@@ -42,6 +43,25 @@ def _little_endian(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
+def _below_65536(pattern: str):
+    """findall of a word pattern for texts below U+10000: its character classes are spelt as ranges, which the standard
+    module matches faster than properties. None for a pattern with other escapes."""
+    import regex
+
+    points = [*range(0xD800), *range(0xE000, 0x10000)]
+    for escape in (r"\p{L}", r"\p{N}", r"\s"):
+        member = regex.compile(escape).match
+        inside = [c for c in points if member(chr(c))]
+        breaks = [i for i in range(1, len(inside)) if inside[i] != inside[i - 1] + 1]
+        spans = zip([0, *breaks], [*breaks, len(inside)], strict=True)
+        ranges = "".join(rf"\u{inside[a]:04x}-\u{inside[b - 1]:04x}" for a, b in spans)
+        negated = escape[0] + escape[1].upper() + escape[2:]
+        # in a class the ranges alone, outside of one a class of them
+        parts = re.split(r"(\[[^]]*\])", pattern)
+        pattern = "".join(p.replace(escape, ranges) if p.startswith("[") else p.replace(escape, f"[{ranges}]").replace(negated, f"[^{ranges}]") for p in parts)
+    return None if re.search(r"\\(?!u[0-9a-f]{4})", pattern) else re.compile(pattern).findall
+
+
 class _Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes, by a byte-level BPE file of the tokenizers library.
 
@@ -56,6 +76,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.find, self.memo = Tokenizer.from_file(path), regex.compile(pattern).findall, {}
+        self.find_low, self.high = _below_65536(pattern), re.compile("[\U00010000-\U0010ffff]").search
         self.old: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -68,17 +89,21 @@ class _Encoder:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, memo = self.find(text), self.memo
-        if new := [w for w in set(words) if w not in memo]:
+        words = self.find_low(text) if self.find_low and not self.high(text) else self.find(text)
+        memo = self.memo
+        parts = list(map(memo.get, words))
+        if None in parts:
+            new = [*{w for w, part in zip(words, parts, strict=True) if part is None}]
             if memo and len(memo) + len(new) > MEMO:
                 self.old, memo = memo, {}
-                self.memo, new = memo, list(set(words))
+                self.memo, new = memo, [*set(words)]
             old = self.old
             memo.update([(w, old[w]) for w in new if w in old])
             new = [w for w in new if w not in memo]
             for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 memo[w] = _little_endian(e.ids)
-        return b"".join(map(memo.__getitem__, words))
+            parts = map(memo.__getitem__, words)
+        return b"".join(parts)
 
 
 def _pieces(path: str | None, pattern: str | None, capacity: int, with_ids: bool):

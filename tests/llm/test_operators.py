@@ -104,6 +104,17 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_word_patterns_agree():
+    import public_tokenizers
+    import regex
+
+    find, low = regex.compile(public_tokenizers.PATTERN).findall, packing._below_65536(public_tokenizers.PATTERN)
+    chars = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000)]]
+    text = "".join(f"a{c} {c}{c} 9{c}'s\n " for c in chars)
+    assert find(text) == low(text)
+    assert packing._below_65536(r"\w+") is None and packing._below_65536(r"\S+|\s+")("a \x1cb") == ["a", " ", "\x1cb"]
+
+
 def test_mixing(docs, empty):
     out = mixing.mix(docs).collect()
     assert len(out) == len(rows()) and all(0 <= r.mix_probability <= 1 for r in out) and out[0].rank == 1
