@@ -16,7 +16,16 @@ from ..functions.errors import ScanError
 from ..functions.species import NUMBER
 
 SCHEMA = "source_file string, frame_index long, offset long, length long, natoms int, numbers array<int>, positions array<array<double>>, cell array<array<double>>, pbc array<boolean>, info map<string,string>"
-_FIELD = re.compile(r"""([A-Za-z_][\w-]*)=("([^"]*)"|\S+)""")
+_FIELD = re.compile(r"""([A-Za-z_][\w-]*)=("((?:[^"\\]|\\.)*)"|\S+)""")
+_ESCAPED = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r"}
+
+
+def _quoted(value: str) -> str:
+    return '"' + "".join(_ESCAPED.get(c, c) for c in value) + '"'
+
+
+def _unquoted(value: str) -> str:
+    return re.sub(r"\\(.)", lambda m: {"n": "\n", "r": "\r"}.get(m[1], m[1]), value)
 
 
 def species_number(token: str) -> int:
@@ -54,9 +63,9 @@ def scan(path: str) -> list[tuple[int, int, int]]:
 
 def parse(text: str) -> tuple:
     """numbers, positions, cell, pbc, info of one frame."""
-    lines = text.splitlines()
+    lines = text.split("\n")
     n = int(lines[0])
-    info = {m[1]: m[3] if m[3] is not None else m[2] for m in _FIELD.finditer(lines[1])}
+    info = {m[1]: _unquoted(m[3]) if m[3] is not None else m[2] for m in _FIELD.finditer(lines[1])}
     lattice = [float(v) for v in info.pop("Lattice").split()] if "Lattice" in info else [0.0] * 9
     pbc = [v in ("T", "True", "1") for v in info.pop("pbc").replace('"', "").split()] if "pbc" in info else [any(lattice)] * 3
     info.pop("Properties", None)
@@ -110,7 +119,7 @@ def write(rows, path: str) -> int:
     with open(path, "w") as f:
         for numbers, positions, cell, pbc, info in rows:
             lattice = " ".join(repr(float(v)) for row in cell for v in row)
-            extra = " ".join(f'{k}="{v}"' for k, v in sorted(info.items()))
+            extra = " ".join(f"{k}={_quoted(str(v))}" for k, v in sorted((info or {}).items()))
             f.write(f'{len(numbers)}\nLattice="{lattice}" Properties=species:S:1:pos:R:3 pbc="{" ".join("T" if p else "F" for p in pbc)}" {extra}\n')
             f.writelines(f"{SYMBOLS[z]} {p[0]!r} {p[1]!r} {p[2]!r}\n" for z, p in zip(numbers, positions, strict=True))
             n += 1
