@@ -2,7 +2,8 @@
 
 A zstandard ratio (bytes / compressed bytes) of the whole text and of fixed chunks says how repetitive a text is. Each
 ratio must lie within limits for its length, as short texts compress less. Repetitive text lies above the band,
-incompressible text (random strings, encoded data) below it.
+incompressible text (random strings, base64) below it. Hex compresses about as prose of its length does; it and other
+encoded text show in how evenly they use their bytes, at every length.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -17,10 +19,16 @@ from pyspark.sql import functions as F
 
 from .common import WORD, record_batch
 
-#: Bytes of the text from which on a band holds, its lowest and its highest ratio.
-BANDS = ((0, 0.0, 2.8), (256, 1.1, 3.0), (1024, 1.2, 3.2), (4096, 1.3, 3.6), (16384, 1.4, 4.0), (65536, 1.5, 4.5))
-#: Bytes of a chunk, its lowest and highest ratio, and the greatest share of chunks beyond them.
-CHUNK = (2048, 1.25, 3.5, 0.34)
+#: Bytes of the text from which on a band holds, its lowest and its highest ratio: about halfway from random letters and
+#: digits to clean prose, and from clean prose to prose with 30 % of its words in one repeated sentence, at sf0.1.
+BANDS = (
+    (0, 0.0, 1.75), (256, 1.23, 1.78), (362, 1.28, 1.86), (512, 1.33, 1.94), (724, 1.42, 2.08), (1024, 1.5, 2.23), (1448, 1.56, 2.34), (2048, 1.63, 2.45),
+    (2896, 1.66, 2.58), (4096, 1.73, 2.67), (8192, 1.79, 2.79), (16384, 1.86, 2.89), (32768, 1.88, 3.03), (65536, 1.95, 3.2),
+)
+#: Bytes of a chunk, its lowest and highest ratio (set likewise), and the greatest share of chunks beyond them.
+CHUNK = (2048, 1.65, 2.42, 0.34)
+#: Greatest byte entropy over that of an even use of the same bytes; prose has up to 0.90, encoded text 0.94 and more.
+EVENNESS = 0.92
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -58,7 +66,14 @@ def compression(text: str, pack: zstandard.ZstdCompressor, size: int) -> tuple[i
     return len(data), ratio, chunks
 
 
-def _judge(bands, chunk, level: int, least_words: int, most_repeated: int):
+def evenness(data: bytes) -> float:
+    """Entropy of the bytes over the greatest that their number of distinct values allows; 0 for fewer than two values."""
+    counts = np.bincount(np.frombuffer(data, np.uint8))
+    share = counts[counts > 0] / max(len(data), 1)
+    return float(-(share * np.log2(share)).sum() / np.log2(len(share))) if len(share) > 1 else 0.0
+
+
+def _judge(bands, chunk, most_even: float, level: int, least_words: int, most_repeated: int):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()),
          ("ratio", pa.float64()), ("n_chunks", pa.int64()), ("n_chunks_outside", pa.int64())]
@@ -77,23 +92,23 @@ def _judge(bands, chunk, level: int, least_words: int, most_repeated: int):
                 length, ratio, chunks = compression(text, pack, size)
                 _, least, most = bands[bisect_right(edges, length) - 1]
                 outside = sum(not low <= r <= high for r in chunks)
-                rows.append((doc_id, n, chars, symbols, lines, repeated, failed, not failed and least <= ratio <= most and outside <= share * len(chunks), ratio, len(chunks), outside))
+                rows.append((doc_id, n, chars, symbols, lines, repeated, failed, not failed and least <= ratio <= most and evenness(text.encode("utf-8", "surrogatepass")) <= most_even and outside <= share * len(chunks), ratio, len(chunks), outside))
             if rows:
                 yield record_batch(schema, *zip(*rows, strict=True))
 
     return run
 
 
-def compression_rules(docs: DataFrame, *, bands=BANDS, chunk=CHUNK, level: int = 3, least_words: int = 50, most_repeated: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compression_rules(docs: DataFrame, *, bands=BANDS, chunk=CHUNK, most_even: float = EVENNESS, level: int = 3, least_words: int = 50, most_repeated: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, the base counts, base_failed, kept, ratio, n_chunks, n_chunks_outside.
 
     ``base_failed`` where a text has fewer than ``least_words`` words, or more than ``most_repeated`` percent of them lie
-    in three-word windows that the text has twice. ``kept`` needs the whole ratio to be in its length's band and no more
-    than the given share of full chunks out of the chunk limits.
+    in three-word windows that the text has twice. ``kept`` needs the whole ratio to be in its length's band, bytes
+    used no more evenly than ``most_even``, and no more than the given share of full chunks out of the chunk limits.
 
     * A null or empty text has no word: zeros, base_failed, not kept.
     * A null id is kept as null; rows that repeat an id are judged one by one.
     * Other columns of docs are not read, whatever their names. An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(_judge(bands, chunk, level, least_words, most_repeated), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_chunks_outside long")
+    return base.mapInArrow(_judge(bands, chunk, most_even, level, least_words, most_repeated), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_chunks_outside long")

@@ -137,6 +137,56 @@ def test_rules_and_models(spark, docs, empty):
     assert toxicity.score_toxicity(empty, toxicity.fit_toxicity(empty, labels)).count() == 0
 
 
+def prose(rng, n):
+    """About n bytes of sentences of invented words, the frequent ones often."""
+    syllables = [a + b for a in "bcdfglmnprstv" for b in "aeiou"]
+    words = ["".join(rng.choices(syllables, k=rng.choice((1, 2, 2, 3)))) + rng.choice(("", "", "n", "s", "r")) for _ in range(1500)]
+    share = [1 / (i + 4) for i in range(len(words))]
+    out, size = [], 0
+    while size < n:
+        s = " ".join(rng.choices(words, share, k=rng.randint(6, 16))).capitalize() + rng.choice((". ", ". ", ", "))
+        out.append(s)
+        size += len(s)
+    return "".join(out)[:n]
+
+
+def encoded(rng, kind, n):
+    import base64
+
+    one = {"base64": lambda: base64.b64encode(rng.randbytes(rng.randint(3, 9))).decode().rstrip("="), "hex": lambda: rng.randbytes(rng.randint(2, 8)).hex(), "letters and digits": lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=rng.randint(4, 12)))}[kind]
+    out = one()
+    while len(out) < n:
+        out += " " + one()
+    return out[:n]
+
+
+def with_repeats(text):
+    """30 % of the words are one sentence, spread over the text."""
+    words = text.split()
+    sentence, body = words[:12], words[: len(words) * 7 // 10]
+    n = max(2, len(words) * 3 // 10 // 12)
+    step = len(body) // n
+    return " ".join(w for i in range(n + 1) for w in [*body[i * step : (i + 1) * step if i < n else None], *(sentence if i < n else [])])
+
+
+def test_compression_bands(spark):
+    import random
+
+    rng = random.Random(5)
+    made = []
+    for size in (500, 1000, 3000, 6000, 12_000, 40_000):
+        made += [(f"{kind} {size}", encoded(rng, kind, size)) for kind in ("base64", "hex", "letters and digits") for _ in range(5)]
+    for size in (1500, 3000, 6000, 12_000, 40_000):
+        texts = [prose(rng, size) for _ in range(5)]
+        made += [(f"prose {size}", t) for t in texts] + [(f"repeats {size}", with_repeats(t)) for t in texts]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(made)], "doc_id long, text string")
+    kept = collections.Counter()
+    for r in compression_rules.compression_rules(df).collect():
+        kept[made[r.doc_id][0]] += r.kept
+    assert {k for k, n in kept.items() if n} == {k for k in kept if k.startswith("prose")}
+    assert sum(kept.values()) >= 23
+
+
 def test_search(docs, empty):
     hits = topk_search.search(docs, F.col("doc_id") % 5 == 0, k=3).collect()
     assert {r.query_id for r in hits} >= {0, 10} and max(r.rank for r in hits) <= 3
