@@ -57,13 +57,13 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def compression(text: str, pack: zstandard.ZstdCompressor, size: int) -> tuple[int, float, list[float]]:
-    """Bytes, the whole ratio, and the ratios of full chunks of that size."""
+    """Bytes, the whole ratio, and the ratios of the chunks of that size of a longer text; the last one ends at its end."""
     data = text.encode("utf-8", "surrogatepass")
     if not data:
         return 0, 0.0, []
     ratio = len(data) / len(pack.compress(data))
-    chunks = [size / len(pack.compress(data[i : i + size])) for i in range(0, len(data) - size + 1, size)] if len(data) >= 2 * size else []
-    return len(data), ratio, chunks
+    starts = [*range(0, len(data) - size, size), len(data) - size] if len(data) > size else []
+    return len(data), ratio, [size / len(pack.compress(data[i : i + size])) for i in starts]
 
 
 def evenness(data: bytes) -> float:
@@ -104,7 +104,8 @@ def compression_rules(docs: DataFrame, *, bands=BANDS, chunk=CHUNK, most_even: f
 
     ``base_failed`` where a text has fewer than ``least_words`` words, or more than ``most_repeated`` percent of them lie
     in three-word windows that the text has twice. ``kept`` needs the whole ratio to be in its length's band, bytes
-    used no more evenly than ``most_even``, and no more than the given share of full chunks out of the chunk limits.
+    used no more evenly than ``most_even``, and no more than the given share of chunks out of the chunk limits. A text
+    longer than a chunk is cut into chunks from its start; what remains is judged with the bytes before it, as a full chunk.
 
     * A null or empty text has no word: zeros, base_failed, not kept.
     * A null id is kept as null; rows that repeat an id are judged one by one.

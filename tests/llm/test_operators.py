@@ -187,6 +187,20 @@ def test_compression_bands(spark):
     assert sum(kept.values()) >= 23
 
 
+def test_compression_chunks(spark):
+    import random
+
+    rng = random.Random(6)
+    made = [(f"{head} + {tail}", prose(rng, head) + " " + encoded(rng, "base64", tail)) for head, tail in ((2040, 1900), (2500, 2000), (4000, 4000), (4090, 4090)) for _ in range(5)]
+    made += [("prose", prose(rng, n)) for n in (2100, 3000, 4095, 4097, 7000)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(made)], "doc_id long, text string")
+    got = [(made[r.doc_id][0], r) for r in compression_rules.compression_rules(df).collect()]
+    assert {k for k, r in got if r.kept} == {"prose"} and sorted(r.n_chunks for k, r in got if k == "prose") == [2, 2, 2, 3, 4]
+    assert all(r.n_chunks_outside for k, r in got if k != "prose")
+    tail = spark.createDataFrame([(0, prose(rng, 20_480) + " " + encoded(rng, "base64", 2040))], "doc_id long, text string")
+    assert [(r.n_chunks, r.n_chunks_outside) for r in compression_rules.compression_rules(tail).collect()] == [(11, 1)]
+
+
 def test_search(docs, empty):
     hits = topk_search.search(docs, F.col("doc_id") % 5 == 0, k=3).collect()
     assert {r.query_id for r in hits} >= {0, 10} and max(r.rank for r in hits) <= 3
