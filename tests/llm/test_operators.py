@@ -208,6 +208,34 @@ def test_search(docs, empty):
     assert topk_search.search(empty, F.col("doc_id") % 5 == 0).count() == 0
 
 
+def test_search_whole_queries(spark):
+    import math
+    import random
+
+    rng = random.Random(7)
+    words = [f"v{i}" for i in range(400)]
+    share = [1 / (i + 3) for i in range(400)]
+    data = [(i, " ".join([*rng.choices(words, share, k=rng.randint(3, 120)), f"only{i}"])) for i in range(1300)]
+    data += [(2000 + i, data[i][1]) for i in range(40)]
+    counts = {i: collections.Counter(t.split()) for i, t in data}
+    df = collections.Counter(w for c in counts.values() for w in c)
+    n, average = len(data), sum(c.total() for c in counts.values()) / len(data)
+    hits = collections.defaultdict(list)
+    for r in topk_search.search(spark.createDataFrame(data, "doc_id long, text string").repartition(3), F.col("doc_id") % 50 == 0, k=10).collect():
+        hits[r.query_id].append((r.rank, r.doc_id, r.score))
+    assert set(hits) == {i for i, _ in data if i % 50 == 0} and max(len(counts[i]) for i in hits) > 60
+    for q, got in hits.items():
+        scores = []
+        for i, c in counts.items():
+            norm = 1.2 * (0.25 + 0.75 * c.total() / average)
+            own = [math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * c[w] * 2.2 / (c[w] + norm) for w, tf in counts[q].items() if w in c]
+            if own:
+                scores.append((-round(sum(own), 6), i))
+        want = [(rank, i) for rank, (_, i) in enumerate(sorted(scores)[:10], 1)]
+        assert [h[:2] for h in sorted(got)] == want
+        assert all(abs(h[2] + s[0]) < 2e-6 for h, s in zip(sorted(got), sorted(scores)))
+
+
 def test_revisits(spark):
     m = lambda **k: {a.replace("_", "-"): v for a, v in k.items()}
     records = [(1, "http://www.A.com/x#f", 10, "response", m(ETag='"v1"', Content_Type="t")), (2, "https://a.com/x/", 20, "revisit", m(etag='W/"v1"', Date="d", Content_Length="0")),
