@@ -1,12 +1,15 @@
 """Substring deduplication with content-defined chunks.
 
 A gear hash rolls over the bytes of a text. A chunk ends at a word end whose hash has its top bits clear, so that an
-insertion moves boundaries only near itself. Chunks are compared by 128-bit digest. The first document (by id) that has
+insertion moves boundaries only near itself. Where none comes for long, as in text without spaces, it ends at the next
+character start that a rarer pattern of the hash picks. Chunks are compared by 128-bit digest. The first document (by id) that has
 a chunk keeps it; elsewhere, and where a text repeats itself, runs of repeated chunks go if they are long enough.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,6 +26,8 @@ _PAD = 0xFF
 _GEAR = _BYTE.astype(np.uint32)
 _GEAR[_PAD] = 0
 _WINDOW = 32
+#: Where no word end comes in time, one byte in 2 ** _FREE_BITS is a boundary if a character starts after it.
+_FREE_BITS = 6
 
 
 def _gear_hashes(buf: np.ndarray) -> np.ndarray:
@@ -44,15 +49,24 @@ def chunk_bounds(texts: list[str | None], *, bits: int, least: int, most: int) -
         buf = np.frombuffer(pad + pad.join(parts) + pad, np.uint8)
         hashes = _gear_hashes(buf)
         cuts = np.flatnonzero(_SEPARATOR[buf] & (hashes >> np.uint32(32 - bits) == 0)) + 1
+        free = np.flatnonzero(hashes[:-1] >> np.uint32(32 - _FREE_BITS) == 0) + 1
+        free = free[buf[free] & 0xC0 != 0x80]
         at = _WINDOW
         for p in parts:
+            loose = None
             own = cuts[np.searchsorted(cuts, at) : np.searchsorted(cuts, at + len(p))] - at
             ends, last = [], 0
             for c in [*own.tolist(), len(p)]:
-                while c - last > most:  # no boundary for long: cut at a character
-                    last += most
-                    while p[last] & 0xC0 == 0x80:
-                        last -= 1
+                while c - last > most:  # no boundary for long: cut at a character that the hash picks, or else at the last that fits
+                    if loose is None:
+                        loose = (free[np.searchsorted(free, at) : np.searchsorted(free, at + len(p))] - at).tolist()
+                    k = bisect_left(loose, last + least)
+                    if k < len(loose) and loose[k] <= last + most:
+                        last = loose[k]
+                    else:
+                        last += most
+                        while p[last] & 0xC0 == 0x80:
+                            last -= 1
                     ends.append(last)
                 if c - last >= least:
                     ends.append(c)

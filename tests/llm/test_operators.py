@@ -74,6 +74,22 @@ def test_substrings(docs, empty):
         [data[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def test_substrings_without_spaces(spark):
+    import random
+
+    rng = random.Random(8)
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    data = []
+    for i in range(20):
+        shared = han(1500)
+        data += [(2 * i, han(rng.randint(100, 400)) + shared + han(200)), (2 * i + 1, han(rng.randint(100, 400)) + shared + han(200))]
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(got[2 * i].bytes_cut == 0 and got[2 * i + 1].bytes_cut > 3600 for i in range(20))
+    for body, ends in substring_dedup.chunk_bounds([t for _, t in data], bits=2, least=32, most=512):
+        assert max(b - a for a, b in zip([0, *ends], ends, strict=False)) <= 512 + 32
+        [body[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
