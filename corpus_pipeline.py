@@ -39,8 +39,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents with the target weights of sources, languages and topics."""
-    return mixing.mix(docs).where("mix_kept").select(*docs.columns)
+    """A sample of the documents with the target weights of sources, languages and topics, no cell held back."""
+    return mixing.mix(docs, limit=None).where("mix_kept").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from .common import BROADCAST_ROWS, checkpointed
 #: Cells that one task may rake; more are raked over shuffled windows.
 ONE_TASK_CELLS = 200_000
 SEED = "mix"
+#: Without a limit rounds go on until no marginal's share is further from its target than this.
+TOLERANCE = 1e-6
 
 
 def words_in(text: Column) -> Column:
@@ -35,12 +37,14 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def rake(cells: DataFrame, keys: list[str], targets: dict[str, DataFrame] | None = None, *, power: float = 0.7, rounds: int = 12, limit: float = 2.0) -> DataFrame:
+def rake(cells: DataFrame, keys: list[str], targets: dict[str, DataFrame] | None = None, *, power: float = 0.7, rounds: int = 12, limit: float | None = 2.0) -> DataFrame:
     """cells (keys, tokens) with fitted, the raked tokens.
 
     ``targets[key]`` has (key, share); without one a category's share goes as its tokens to ``power``. Categories that a
     target lacks get nothing, and shares are scaled to those that have tokens. Null is a category of its own. After each
-    round a cell is held to ``limit`` times its tokens, lest a rare cell make all other probabilities small.
+    round a cell is held to ``limit`` times its tokens, lest a rare cell make all other probabilities small; the targets
+    are missed where that binds. With ``limit`` None no cell is held, and ``rounds`` more are made until every marginal is
+    within TOLERANCE of its target, or comes no nearer because no table of these cells has them all.
     """
     frame = cells
     for k in keys:
@@ -62,15 +66,42 @@ def rake(cells: DataFrame, keys: list[str], targets: dict[str, DataFrame] | None
         frame = frame.withColumn("_all_once", F.sum("_once").over(everything)).withColumn(f"_share_{k}", F.when(F.col("_all_once") > 0, F.col(f"_want_{k}") / F.col("_all_once")).otherwise(0.0)).drop("_first", "_has", "_once", "_all_once")
     total = F.sum("tokens").over(everything).cast("double")
     frame = frame.withColumn("_total", total).withColumn("fitted", F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        for k in keys:
-            own = F.sum("fitted").over(Window.partitionBy(k))
-            frame = frame.withColumn("_sum", own).withColumn("fitted", F.when(F.col("_sum") > 0, F.col("fitted") * F.col("_total") * F.col(f"_share_{k}") / F.col("_sum")).otherwise(0.0))
-        frame = frame.withColumn("fitted", F.least(F.col("fitted"), F.col("tokens") * F.lit(limit)))
-    return frame.select(*keys, "tokens", "fitted")
+
+    def raked(frame):
+        for _ in range(rounds):
+            for k in keys:
+                own = F.sum("fitted").over(Window.partitionBy(k))
+                frame = frame.withColumn("_sum", own).withColumn("fitted", F.when(F.col("_sum") > 0, F.col("fitted") * F.col("_total") * F.col(f"_share_{k}") / F.col("_sum")).otherwise(0.0))
+            if limit is not None:
+                frame = frame.withColumn("fitted", F.least(F.col("fitted"), F.col("tokens") * F.lit(limit)))
+        return frame
+
+    frame = raked(frame)
+    if limit is None:
+        missed = float("inf")
+        while True:
+            frame = checkpointed(frame)
+            away = [frame.groupBy(k).agg(F.abs(F.sum("fitted") / F.first("_total") - F.first(f"_share_{k}")).alias("away")).agg(F.max("away")).first()[0] or 0.0 for k in keys]
+            if max(away) <= TOLERANCE or max(away) > 0.99 * missed:
+                break
+            missed = max(away)
+            frame = raked(frame.coalesce(1) if frame.count() <= ONE_TASK_CELLS else frame)
+    return frame.select(*keys, "tokens", "fitted", *[f"_share_{k}" for k in keys])
+
+
+def marginals(cells: DataFrame, keys: list[str], targets: dict[str, DataFrame] | None = None, **how) -> DataFrame:
+    """(key, category, tokens, target, result) of raked cells: shares that were asked for and that came out."""
+    fitted = checkpointed(rake(cells, keys, targets, **how))
+    out = None
+    for k in keys:
+        total = F.sum("result").over(Window.partitionBy(F.lit(0)))
+        own = fitted.groupBy(F.col(k).cast("string").alias("category")).agg(F.sum("tokens").alias("tokens"), F.first(f"_share_{k}").alias("target"), F.sum("fitted").alias("result"))
+        own = own.select(F.lit(k).alias("key"), "category", "tokens", "target", F.when(total > 0, F.col("result") / total).otherwise(0.0).alias("result"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, *, power: float = 0.7, rounds: int = 12, limit: float = 2.0, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, *, power: float = 0.7, rounds: int = 12, limit: float | None = 2.0, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
     """docs with mix_tokens, mix_topic, mix_probability and mix_kept, raked to source, language and topic marginals.
 
     The probability of a cell is its fitted tokens over its tokens, over the largest such ratio, so that kept documents

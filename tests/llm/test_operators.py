@@ -137,6 +137,24 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_meets_targets(spark):
+    texts = {"prose": "one two three four five six seven eight", "list": "one\ntwo\nthree\nfour", "table": "a | b | c"}
+    share = {"prose": 400, "list": 4, "table": 20}
+    data = [(topic, f"s{i % 4}", "en" if i % 5 else "fr", texts[topic]) for topic, n in share.items() for i in range(n)]
+    df = spark.createDataFrame([(i, t, s, g) for i, (_, s, g, t) in enumerate(data)], "doc_id long, text string, source string, lang string")
+    made = mixing.mix(df, limit=None).collect()
+    for key, of in (("source", lambda r: r.source), ("lang", lambda r: r.lang), ("topic", lambda r: r.mix_topic)):
+        tokens, got = collections.Counter(), collections.Counter()
+        for r in made:
+            tokens[of(r)] += r.mix_tokens
+            got[of(r)] += r.mix_tokens * r.mix_probability
+        want = {k: n**0.7 for k, n in tokens.items()}
+        assert all(abs(got[k] / got.total() - w / sum(want.values())) < 1e-5 for k, w in want.items()), key
+    assert max(r.mix_probability for r in made) == 1
+    cells = df.select("source", "lang", mixing.words_in(F.col("text")).alias("n"), mixing.topic_of(F.col("text"), mixing.words_in(F.col("text"))).alias("topic")).groupBy("source", "lang", "topic").agg(F.sum("n").alias("tokens"))
+    assert all(abs(r.target - r.result) < 1e-5 for r in mixing.marginals(cells, ["source", "lang", "topic"], limit=None).collect())
+
+
 def test_rules_and_models(spark, docs, empty):
     assert {r.doc_id: r.kept for r in compression_rules.compression_rules(docs).collect()}[4] is False
     assert compression_rules.base_counts("a b c a b c\nx\nx") == (8, 8, 0, 1, 6)
