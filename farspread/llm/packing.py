@@ -6,9 +6,9 @@ needs. The plan is made from it on the driver and its size doesn't depend on the
 1. Large lengths, in falling order, are cut into groups of equal cardinality and rounded up to the group's largest.
 2. Over these few sizes the configuration programme is solved by column generation (a knapsack prices new columns) and
    rounded down.
-3. The documents of a group take the group's places in order; a run of sequences whose places hold equal lengths stays
-   one row of the plan.
-4. What the rounding left over, and then all small lengths, go by best fit into the tightest run that has room.
+3. Actual documents take the places. A place takes the longest one that is left and fits, counting the room that rounding
+   left in the places before it; a run of sequences whose places hold equal lengths stays one row of the plan.
+4. What is left over, and then all small lengths, go by best fit into the tightest run that has room.
 
 A document's rank among those of its length, computed per (length, salt), then leads to its sequence.
 """
@@ -32,6 +32,11 @@ from .common import checkpointed, record_batch, released, slices, small_or_plain
 END_ID = 2
 #: Entries of each of the two generations of a worker's memo of word encodings.
 MEMO = 500_000
+#: Groups of equal cardinality that large lengths are rounded up in.
+GROUPS = 256
+#: Characters of a text that are cut into words at once.
+SEGMENT = 1_000_000
+_GAP = re.compile(r"(?<=\S)\s")
 #: Rows of one (length, salt) that are ranked together, about.
 RANKED = 100_000
 
@@ -62,11 +67,19 @@ def _below_65536(pattern: str):
     return None if re.search(r"\\(?!u[0-9a-f]{4})", pattern) else re.compile(pattern).findall
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE files write for each byte: printable bytes stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class _Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes, by a byte-level BPE file of the tokenizers library.
 
     The file's own pre-tokeniser cuts a text into words that are encoded one by one, so the encoding of a word is kept.
     The memo has two generations: a full one becomes the old one, and words of the old one that come again move over.
+    A new word goes straight to the file's model, in the letters that stand for its bytes.
     """
 
     _of: dict[str, _Encoder] = {}
@@ -79,6 +92,7 @@ class _Encoder:
         self.find_low, self.high = _below_65536(pattern), re.compile("[\U00010000-\U0010ffff]").search
         self.old: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model, self.letters = self.tokenizer.model.tokenize, _byte_letters()
 
     @classmethod
     def get(cls, path: str, pattern: str) -> _Encoder:
@@ -86,26 +100,42 @@ class _Encoder:
             cls._of[path] = cls(path, pattern)
         return cls._of[path]
 
+    def word(self, word: str) -> bytes:
+        return _little_endian([t.id for t in self.model(word.encode("utf-8").decode("latin-1").translate(self.letters))])
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(self.part(text[a:b]) for a, b in _segments(text))
+
+    def part(self, text: str) -> bytes:
         words = self.find_low(text) if self.find_low and not self.high(text) else self.find(text)
-        memo = self.memo
+        memo, old = self.memo, self.old
         parts = list(map(memo.get, words))
-        if None in parts:
-            new = [*{w for w, part in zip(words, parts, strict=True) if part is None}]
-            if memo and len(memo) + len(new) > MEMO:
-                self.old, memo = memo, {}
-                self.memo, new = memo, [*set(words)]
-            old = self.old
-            memo.update([(w, old[w]) for w in new if w in old])
-            new = [w for w in new if w not in memo]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[w] = _little_endian(e.ids)
-            parts = map(memo.__getitem__, words)
+        at = -1
+        for _ in range(parts.count(None)):
+            at = parts.index(None, at + 1)
+            w = words[at]
+            if (e := memo.get(w)) is None:
+                if (e := old.get(w)) is None:
+                    e = self.word(w)
+                memo[w] = e
+            parts[at] = e
+        if len(memo) > MEMO:
+            self.old, self.memo = memo, {}
         return b"".join(parts)
 
 
+def _segments(text: str):
+    """Ranges of about SEGMENT characters. A word never goes over a white space that follows another character, so a text
+    may be cut there; one without such a place isn't cut."""
+    start = 0
+    while len(text) - start > SEGMENT and (found := _GAP.search(text, start + SEGMENT)):
+        yield start, found.start()
+        start = found.start()
+    yield start, len(text)
+
+
 def _pieces(path: str | None, pattern: str | None, capacity: int, with_ids: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
     end = np.array([END_ID], "<u4").tobytes()
@@ -176,83 +206,71 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
     return [(basis[:, j].astype(np.int64), int(amount[j] + 1e-9)) for j in range(k) if amount[j] + 1e-9 >= 1]
 
 
-def packing_plan(histogram: dict[int, int], capacity: int, groups: int = 96, small: int | None = None) -> list[tuple[int, int, int, int, int]]:
+def packing_plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small: int | None = None) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, end rank, first sequence, offset): item ``rank`` of ``length`` goes to sequence ``first sequence + rank - first rank``."""
-    small = capacity // 8 if small is None else small
+    small = capacity // 4 if small is None else small
     plan: list[tuple[int, int, int, int, int]] = []
+    left = np.zeros(capacity + 1, np.int64)
+    for n, c in histogram.items():
+        left[n] = c
+    taken = np.zeros(capacity + 1, np.int64)
     sequences = 0
-    if full := histogram.get(capacity, 0):
-        plan.append((capacity, 0, full, 0, 0))
+    free: dict[int, list[tuple[int, int]]] = defaultdict(list)
+
+    def put(n: int, run: int, first: int, offset: int) -> None:
+        plan.append((n, int(taken[n]), int(taken[n]) + run, first, offset))
+        taken[n] += run
+        left[n] -= run
+
+    if full := int(left[capacity]):
+        put(capacity, full, 0, 0)
         sequences = full
-    # 1. groups of equal cardinality, each a queue of (length, first rank, end rank)
-    large = [(n, c) for n, c in sorted(histogram.items(), reverse=True) if small < n < capacity and c]
+    # 1. groups of equal cardinality: of each its largest length; groups that agree in it are one size
+    large = [(n, int(left[n])) for n in range(capacity - 1, small, -1) if left[n]]
     total = sum(c for _, c in large)
-    queues: list[list[list[int]]] = []
     k = min(groups, total)
-    taken = 0
+    rounded: dict[int, int] = {}
+    before, group, size = 0, -1, 0
     for n, c in large:
-        at = 0
-        while at < c:
-            g = len(queues)
-            if not queues or taken >= total * g // k:
-                queues.append([])
-                g += 1
-            step = min(c - at, max(1, total * g // k - taken))
-            queues[-1].append([n, at, at + step])
-            at += step
-            taken += step
-    # groups whose largest lengths are equal are one size
-    merged: list[list[list[int]]] = []
-    for q in queues:
-        if merged and merged[-1][0][0] == q[0][0]:
-            merged[-1].extend(q)
-        else:
-            merged.append(q)
-    free: dict[int, list[tuple[int, int]]] = defaultdict(list)
-
-    def take(queue: list[list[int]], n: int) -> list[tuple[int, int, int]]:
-        out = []
-        while n:
-            length, a, b = queue[0]
-            step = min(n, b - a)
-            out.append((length, a, step))
-            n -= step
-            if a + step == b:
-                queue.pop(0)
-            else:
-                queue[0][1] += step
-        return out
-
-    if merged:
+        end = before + c
+        while before < end:
+            if before * k // total != group:
+                group, size = before * k // total, n
+            step = min(end, -(-total * (group + 1) // k)) - before
+            rounded[size] = rounded.get(size, 0) + step
+            before += step
+    if rounded:
         # 2. few-size configurations
-        sizes = np.array([q[0][0] for q in merged])
-        counts = np.array([sum(b - a for _, a, b in q) for q in merged], float)
-        for config, times in configurations(sizes, counts, capacity):
-            left = [sum(b - a for _, a, b in q) for q in merged]
-            times = min([times, *(left[i] // int(config[i]) for i in np.flatnonzero(config))])
-            if times <= 0:
-                continue
-            # 3. documents of the group in the places
-            slots = [take(merged[i], times) for i in np.flatnonzero(config) for _ in range(int(config[i]))]
-            done = 0
-            while done < times:
-                run = min(s[0][2] for s in slots)
+        sizes = np.array(sorted(rounded, reverse=True))
+        for config, times in configurations(sizes, np.array([rounded[n] for n in sizes.tolist()], float), capacity):
+            places = np.repeat(sizes, config).tolist()
+            while times:
+                # 3. documents in the places: each takes the longest that the places after it leave room for
+                room, used, spare = capacity, {}, left.copy()
+                for place in range(len(places)):
+                    most = room - sum(places[place + 1 :])
+                    fits = np.flatnonzero(spare[small + 1 : most + 1])
+                    if not len(fits):
+                        break
+                    n = small + 1 + int(fits[-1])
+                    used[n] = used.get(n, 0) + 1
+                    spare[n] -= 1
+                    room -= n
+                if not used:
+                    break
+                run = min(times, *(int(left[n]) // c for n, c in used.items()))
                 offset = 0
-                for s in slots:
-                    length, a, n = s[0]
-                    plan.append((length, a, a + run, sequences + done, offset))
-                    offset += length
-                    if n == run:
-                        s.pop(0)
-                    else:
-                        s[0] = (length, a + run, n - run)
-                free[capacity - offset].append((sequences + done, run))
-                done += run
-            sequences += times
+                for n, c in used.items():
+                    for _ in range(c):
+                        put(n, run, sequences, offset)
+                        offset += n
+                free[room].append((sequences, run))
+                sequences += run
+                times -= run
     # 4. best fit
-    rest = [(n, a, b) for q in merged for n, a, b in q] + [(n, 0, c) for n, c in histogram.items() if n <= small and c]
+    rest = [(n, int(taken[n]), int(taken[n] + left[n])) for n in range(capacity - 1, 0, -1) if left[n]]
     rooms = sorted(s for s in free if s > 0)
-    for n, a, b in sorted(rest, reverse=True):
+    for n, a, b in rest:
         while a < b:
             i = bisect.bisect_left(rooms, n)
             if i == len(rooms):
@@ -265,11 +283,11 @@ def packing_plan(histogram: dict[int, int], capacity: int, groups: int = 96, sma
             if not free[room]:
                 rooms.pop(i)
             each = min(room // n, b - a)
-            used = min(bins, (b - a) // each)
+            used_bins = min(bins, (b - a) // each)
             for layer in range(each):
-                plan.append((n, a, a + used, first, capacity - room + layer * n))
-                a += used
-            for r, run in ((room - each * n, (first, used)), (room, (first + used, bins - used))):
+                plan.append((n, a, a + used_bins, first, capacity - room + layer * n))
+                a += used_bins
+            for r, run in ((room - each * n, (first, used_bins)), (room, (first + used_bins, bins - used_bins))):
                 if r and run[1]:
                     free[r].append(run)
                     if len(free[r]) == 1:
@@ -277,7 +295,7 @@ def packing_plan(histogram: dict[int, int], capacity: int, groups: int = 96, sma
     return plan
 
 
-def pack(docs: DataFrame, *, capacity: int = 1024, tokenizer: str | None = None, pattern: str | None = None, groups: int = 96, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = 1024, tokenizer: str | None = None, pattern: str | None = None, groups: int = GROUPS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of every piece of every row of docs.
 
     ``tokenizer`` and ``pattern`` are a byte-level BPE file and its word pattern, else the public 50k one's.
@@ -285,14 +303,16 @@ def pack(docs: DataFrame, *, capacity: int = 1024, tokenizer: str | None = None,
     * A null or empty text is the end id alone, a piece of length 1.
     * A document over the capacity is cut into full pieces; only its first piece may be shorter.
     * A null id is kept as null; rows that repeat an id, or are equal, are packed one by one.
+    * A text of any length is encoded as a whole, by parts of about SEGMENT characters; its ids are held at once.
     * Other columns of docs are not read, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = base.mapInArrow(released(_pieces(tokenizer, pattern, capacity, with_ids)), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
     pieces = checkpointed(pieces)
+    # The partition is part of the salt, so that many equal rows aren't ranked in one group; the checkpoint fixes it.
     salts = max(16, pieces.count() // RANKED)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.spark_partition_id()), F.lit(salts)).cast("int"))
     counts = checkpointed(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan = packing_plan(histogram, capacity, groups)

@@ -120,6 +120,63 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def best_fit_decreasing(histogram, capacity):
+    """Sequences that plain best-fit decreasing takes."""
+    rooms, made = [0] * (capacity + 1), 0
+    for n in sorted(histogram, reverse=True):
+        for _ in range(histogram[n]):
+            room = next((r for r in range(n, capacity) if rooms[r]), capacity)
+            made += room == capacity
+            rooms[room] -= room < capacity
+            rooms[room - n] += 1
+    return made
+
+
+def plan_of(histogram, capacity, **how):
+    """The sequences of a plan; every document has one place, sequences are gapless and hold no more than fits."""
+    ranks, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for n, a, b, first, offset in packing.packing_plan(histogram, capacity, **how):
+        ranks[n] += range(a, b)
+        for i in range(b - a):
+            sequences[first + i].append((offset, n))
+    assert {n: sorted(r) for n, r in ranks.items()} == {n: [*range(c)] for n, c in histogram.items() if c}
+    for places in sequences.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return sequences
+
+
+def test_packing_is_as_good_as_best_fit():
+    import random
+
+    rng = random.Random(3)
+    for lengths in ([rng.randint(1, 1024) for _ in range(4000)], [1024] * 50 + [rng.randint(300, 700) for _ in range(3000)], [min(1024, int(rng.expovariate(1 / 400)) + 1) for _ in range(4000)], [513] * 9, [7], [], [600] * 5 + [400] * 9 + [24] * 3):
+        histogram = dict(collections.Counter(lengths))
+        assert len(plan_of(histogram, 1024)) <= best_fit_decreasing(histogram, 1024) * 1.005 + 1
+    assert len(plan_of({5: 3, 3: 4}, 8)) == 4
+
+
+def test_packing_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = packing.pack(docs).select("length", "sequence_id").collect()
+    histogram = dict(collections.Counter(r.length for r in out))
+    assert len({r.sequence_id for r in out}) <= best_fit_decreasing(histogram, 1024) + 1
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "SEGMENT", 20)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, t = packing._Encoder(path, public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    for text in ("word " * 40, "a  b \n c\n\n  d " * 12, "x" * 90, " \u3000y it's 12 !? \U0001f600 \x1c z" * 9, " " * 70, "é" * 30 + "\n" * 30 + "k" * 30):
+        assert encoder.encode(text) == b"".join(i.to_bytes(4, "little") for i in t.encode(text, add_special_tokens=False).ids)
+
+
 def test_word_patterns_agree():
     import public_tokenizers
     import regex
