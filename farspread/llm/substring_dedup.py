@@ -15,27 +15,31 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import byte_slices, checkpointed, record_batch, released, slices
 from .shingles import _BYTE, _SEPARATOR
 
 #: A null id orders after every other.
 LAST = (1 << 63) - 1
+#: Rows of one chunk that are joined in one task, about; chunks that may be dealt out by parts, at most.
+HOT, HOT_CHUNKS = 100_000, 200_000
 #: A byte that UTF-8 never holds; it adds nothing to the hash.
 _PAD = 0xFF
 _GEAR = _BYTE.astype(np.uint32)
 _GEAR[_PAD] = 0
-_WINDOW = 32
+#: Bytes that a hash depends on; each step shifts by _SHIFT bits, so that older bytes leave the 32.
+_WINDOW, _SHIFT = 16, 2
 #: Where no word end comes in time, one byte in 2 ** _FREE_BITS is a boundary if a character starts after it.
-_FREE_BITS = 6
+_FREE_BITS = 5
 
 
 def _gear_hashes(buf: np.ndarray) -> np.ndarray:
-    """h[i] = sum over j < 32 of gear[buf[i - j]] << j, by doubling the window."""
+    """h[i] = sum over j < _WINDOW of gear[buf[i - j]] << (_SHIFT * j), by doubling the window."""
     h = _GEAR[buf]
     width = 1
     while width < _WINDOW:
-        h[width:] += h[:-width] << np.uint32(width)
+        h[width:] += h[:-width] << np.uint32(_SHIFT * width)
         width *= 2
     return h
 
@@ -86,23 +90,25 @@ def _digests(data: bytes, ends: list[int]) -> list[int]:
 
 
 def _chunks(shape: dict):
-    """Rows (doc, h1, h2, seq) of each text's distinct chunks; seq is the first place."""
-    schema = pa.schema([("doc", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("seq", pa.int32())])
+    """Rows (doc, key, h1, h2, seq) of each text's distinct chunks; seq is the first place, key tells texts of one id apart."""
+    schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("seq", pa.int32())])
 
     def run(batches):
         for batch in slices(batches):
-            docs, digests, seqs = [], [], []
-            ids = batch.column(0).to_pylist()
-            for doc, (data, ends) in zip(ids, chunk_bounds(batch.column(1).to_pylist(), **shape), strict=True):
+            digests: list[int] = []
+            seqs: list[int] = []
+            held: list[int] = []
+            for data, ends in chunk_bounds(batch.column(2).to_pylist(), **shape):
                 own: dict[int, int] = {}
                 for seq, d in enumerate(_digests(data, ends)):
                     own.setdefault(d, seq)
-                docs.extend([doc] * len(own))
+                held.append(len(own))
                 digests.extend(own)
                 seqs.extend(own.values())
-            if docs:
+            if digests:
                 flat = np.frombuffer(b"".join(d.to_bytes(16, "big") for d in digests), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
-                yield record_batch(schema, docs, flat[:, 0], flat[:, 1], seqs)
+                doc, key = (np.repeat(batch.column(i).to_numpy(), held) for i in (0, 1))
+                yield record_batch(schema, doc, key, flat[:, 0], flat[:, 1], seqs)
 
     return run
 
@@ -123,6 +129,7 @@ def _rewrite(shape: dict, least_run: int):
                     seen.add(d)
                 cut, kept, at, k = [], [], 0, 0
                 starts = [0, *ends[:-1]]
+                chunks_cut = 0
                 while k < len(flags):
                     if not flags[k]:
                         k += 1
@@ -132,13 +139,14 @@ def _rewrite(shape: dict, least_run: int):
                         m += 1
                     if ends[m - 1] - starts[k] >= least_run or (k == 0 and m == len(flags)):
                         cut.append((starts[k], ends[m - 1]))
+                        chunks_cut += m - k
                     k = m
                 for a, b in cut:
                     kept.append(data[at:a])
                     at = b
                 kept.append(data[at:])
                 texts.append(text if not cut else b"".join(kept).decode("utf-8", "surrogatepass"))
-                counts.append((len(ends), sum(flags), sum(b - a for a, b in cut)))
+                counts.append((len(ends), chunks_cut, sum(b - a for a, b in cut)))
                 spans.append([x for span in cut for x in span])
             added = [pa.array(texts, pa.string()), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3)), pa.array(spans, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *added], names=["row", "text", "n_chunks", "n_repeated_chunks", "bytes_cut", "cut_spans"])
@@ -146,27 +154,50 @@ def _rewrite(shape: dict, least_run: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, *, bits: int = 2, least: int = 32, most: int = 512, least_run: int = 96, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(
+    docs: DataFrame, *, bits: int = 2, least: int = 16, most: int = 512, least_run: int = 96, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """docs with the text less its repeated chunks, and n_chunks, n_repeated_chunks, bytes_cut, cut_spans.
 
     ``bits`` sets how rare boundaries are (one word end in 2 ** bits), ``least`` and ``most`` the bytes of a chunk, and
-    ``least_run`` the bytes that adjoining repeated chunks must span to be cut (or else the whole text). ``cut_spans``
-    lists the starts and ends of what went, in bytes of the UTF-8 text.
+    ``least_run`` the bytes that adjoining repeated chunks must span to be cut (or else the whole text).
+    ``n_repeated_chunks`` counts the chunks that were cut; a repeated one in a shorter run stays and doesn't count.
+    ``cut_spans`` lists the starts and ends of what went, in bytes of the UTF-8 text. A chunk that more than ``hot`` rows
+    have is joined in several parts.
 
     * A null text stays null and an empty one empty; both have no chunk.
-    * A null id orders after all others. Rows that repeat an id are one document, none of which repeats the other.
+    * A null id orders after all others. Rows that repeat an id are one document, none of which repeats the other, but
+      each is cut by its own text. Rows without an id are one document likewise.
     * Equal texts under several ids: the smallest id keeps its text, of the others all goes and '' stays.
+    * A text of any length is chunked as a whole; its bytes and hashes, about 12 bytes a byte of text, are held at once.
     * All columns of docs are kept; the five that are added replace those of the same name. Empty in, empty out.
     """
     shape = {"bits": bits, "least": least, "most": most}
     added = ["n_chunks", "n_repeated_chunks", "bytes_cut", "cut_spans"]
-    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
-    chunks = docs.select(doc.alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(released(_chunks(shape)), "doc long, h1 long, h2 long, seq int")
-    firsts = chunks.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h1", "h2", "first")
-    firsts = checkpointed(firsts)
-    repeated = chunks.join(firsts, ["h1", "h2"]).where("doc <> first").groupBy("doc").agg(F.collect_set("seq").alias("seqs"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), doc.alias("doc"))
-    rows = rows.join(repeated, "doc", "left").select("row", "text", "seqs")
-    out = rows.mapInArrow(released(_rewrite(shape, least_run)), f"row {rows.schema['row'].dataType.simpleString()}, text string, n_chunks long, n_repeated_chunks long, bytes_cut long, cut_spans array<long>")
-    columns = [F.col("text") if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c not in added]
-    return out.select(*[x.alias(c) for x, c in zip(columns, [c for c in docs.columns if c not in added], strict=True)], *added)
+    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("doc")
+    text = F.col(f"`{text_col}`").cast("string")
+    key = F.xxhash64(F.lit("key"), text, F.length(text)).alias("key")
+    chunks = docs.select(doc, key, text.alias("text")).mapInArrow(released(_chunks(shape)), "doc long, key long, h1 long, h2 long, seq int")
+    firsts = chunks.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    firsts = checkpointed(firsts.where("first <> last").select("h1", "h2", "first", "n"))
+    # A chunk with many rows is dealt by document; few chunks can be so common, so their digests are broadcast.
+    limit = max(hot, (firsts.agg(F.sum("n")).first()[0] or 0) // HOT_CHUNKS)
+    common = firsts.where(F.col("n") > limit).select("h1", "h2", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+    part = F.lit(0)
+    if common.limit(1).count():
+        chunks = chunks.join(F.broadcast(common), ["h1", "h2"], "left")  # at most HOT_CHUNKS rows
+        part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "key"), F.col("parts"))).cast("int")
+        last_part = F.when(F.col("n") > limit, F.ceil(F.col("n") / limit).cast("int") - 1).otherwise(0)
+        firsts = firsts.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), last_part)).alias("part"))
+    else:
+        firsts = firsts.select("h1", "h2", "first", F.lit(0).alias("part"))
+    repeated = chunks.withColumn("part", part).join(firsts, ["h1", "h2", "part"]).where("doc <> first")
+    repeated = repeated.groupBy("doc", "key").agg(F.collect_set("seq").alias("seqs"))
+    others = [c for c in docs.columns if c != text_col]  # the text travels once
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), text.alias("text"), doc, key)
+    rows = rows.join(repeated, ["doc", "key"], "left").select("row", "text", "seqs")
+    kind = StructType([StructField("row", rows.schema["row"].dataType), StructField("text", StringType())])
+    kind = StructType([*kind, *(StructField(c, LongType()) for c in added[:3]), StructField(added[3], ArrayType(LongType()))])
+    out = rows.mapInArrow(released(_rewrite(shape, least_run)), kind)
+    kept = [c for c in docs.columns if c not in added]
+    return out.select(*[(F.col("text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in kept], *added)
