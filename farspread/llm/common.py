@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-#: Rows of 16 to 24 bytes that may be broadcast: at most about 24 MB.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of rows of a few numbers that may be broadcast.
+BROADCAST_BYTES = 24_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,17 +29,21 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir."""
+    """An eager reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir; only a local master may go without."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
 def small_or_plain(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df (narrow, checkpointed) with a broadcast hint if it has few enough rows; else as it is, for a shuffled join."""
+    """df (of numbers, checkpointed) with a broadcast hint if its rows, 8 bytes a column and 16 more, take few enough bytes;
+    else as it is, for a shuffled join."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n * (8 * len(df.columns) + 16) <= BROADCAST_BYTES else df
 
 
 def byte_slices(texts: list[str | None], limit: int = 500_000) -> Iterator[tuple[int, int]]:
@@ -107,11 +111,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     both = checkpointed(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
     while True:
-        around = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("m"))
+        near = small_or_plain(labels.select(F.col("node").alias("v"), "root"))
+        around = both.join(near, "v").groupBy("u").agg(F.min("root").alias("m"))
         hooked = labels.join(around, F.col("node") == F.col("u")).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         hooked = checkpointed(hooked)
-        target = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        jumped = checkpointed(hooked.join(target, "root").select("node", "was", F.col("next").alias("root")))
+        # Labels of the roots alone, one row each: a component of any size is not gathered at its root.
+        roots = hooked.select("root").distinct().withColumnRenamed("root", "node")
+        target = checkpointed(hooked.join(roots, "node").select(F.col("node").alias("root"), F.col("root").alias("next")))
+        jumped = checkpointed(hooked.join(small_or_plain(target), "root").select("node", "was", F.col("next").alias("root")))
         changed = jumped.where("root <> was").limit(1).count()
         labels = jumped.select("node", "root")
         if not changed:

@@ -1,11 +1,13 @@
 """N-gram Jaccard self-join with prefix filters under several global token orders.
 
 Two sets with Jaccard similarity of at least t share a token among the first ``n - ceil(t * n) + 1`` tokens of each,
-under any total order of tokens. Three orders are used here: each sorts by the estimated document frequency of a token
-(a counting sketch of fixed size over the whole corpus, so that common passages come last) and breaks ties by its own
-permutation of the hashes.
+under any total order of tokens. Three orders are used here: by how common a token is, then by a permutation of the
+hashes; tokens not known as common first, then by a second permutation; by a third permutation alone.
 
-1. One pass writes of each document its set's size and 128-bit digest, and fills the sketch. Equal sets become one node.
+1. One pass writes of each document its set's size and 128-bit digest, and counts tokens: every task counts all of its
+   tokens, some millions at a time, and sends on those that it saw twice or more. The KNOWN most frequent of the whole
+   corpus are kept, whatever its size, in a table of fixed size; a wrong count changes the orders, which any serve.
+   Equal sets become one node.
 2. The prefix of the first order is sent out by token. Of the nodes that meet at a token, those pairs stay whose sizes
    and token histograms allow similarity t (both are lower bounds of the difference, so no pair is lost). A long list
    is searched breadth-first and gives one link for each node, not all pairs; a token whose list would be too long
@@ -17,13 +19,11 @@ permutation of the hashes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,20 +31,33 @@ from .common import checkpointed, connected_components, ragged, record_batch, re
 from .shingles import mix, shingle_sets
 
 ORDERS = 3
+#: Slots of the table of common tokens (2 ** SKETCH_BITS bytes), and the most tokens that it knows.
 SKETCH_BITS = 24
-SKETCH_PARTS = 64
-#: The list of a token that fills its sketch counter is dealt out in so many blocks, pair by pair; a class in blocks of
-#: so many shingles.
-HOT_BLOCKS = 6
+KNOWN = 2_000_000
+#: Tokens that a task counts at a time.
+COUNTED = 4_000_000
+#: A token of so many documents or more is dealt out in blocks of about so many, pair by pair, but no more than MOST_BLOCKS
+#: blocks; a class in blocks of so many shingles.
+HOT_LIST, MOST_BLOCKS = 20_000, 64
 CLASS_BLOCK = 2_000_000
 _SALTS = [np.uint64(0x632BE59BD9B4E019 * (2 * k + 1) % (1 << 64)) for k in range(ORDERS)]
 _SLOT_SHIFT = np.uint64(64 - SKETCH_BITS)
+#: Eighth powers of two that a count is told by, in the table.
+_STEPS = 8
 
 
 def _slots(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> _SLOT_SHIFT).astype(np.int64)
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    """1 for a count of 1, and _STEPS more for each doubling; a byte holds counts up to 2 ** 31."""
+    return np.minimum(255, 1 + np.floor(_STEPS * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+
+
+_HOT_LEVEL = int(_level(np.array([HOT_LIST]))[0])
+
+
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
     d = xxhash.xxh3_128_intdigest(tokens.tobytes())
     return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
@@ -55,13 +68,22 @@ def _prefix_size(n: int, t: Fraction) -> int:
 
 
 def _prefix(tokens: np.ndarray, seen: np.ndarray, order: int, p: int) -> np.ndarray:
-    """The first p tokens: rarest first, ties by the order's permutation."""
-    key = (seen.astype(np.uint64) << np.uint64(56)) | (mix(tokens ^ _SALTS[order]) >> np.uint64(8))
+    """The first p tokens under an order; seen: the tokens' levels in the table."""
+    key = mix(tokens ^ _SALTS[order]) >> np.uint64(8)
+    if order == 0:
+        key |= seen.astype(np.uint64) << np.uint64(56)
+    elif order == 1:
+        key |= (seen > 0).astype(np.uint64) << np.uint64(56)
     if p < len(key):
         return tokens[np.argpartition(key, p - 1)[:p]]
     return tokens
 
 
+def _blocks(levels: np.ndarray) -> np.ndarray:
+    """Blocks that the lists of hot tokens with these levels are dealt out in."""
+    return np.clip(np.ceil(2.0 ** ((levels.astype(float) - 1) / _STEPS) / HOT_LIST), 2, MOST_BLOCKS).astype(np.int64)
+
+
 def _histogram(tokens: np.ndarray, per: int) -> np.ndarray:
     """Counts of tokens by hash, as many buckets as a power of two, at least 16 and n / per."""
     m = 16
@@ -74,56 +96,93 @@ def _histogram(tokens: np.ndarray, per: int) -> np.ndarray:
         m *= 2
 
 
-def _survey(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+def _survey(n: int, parts: int):
+    """Sizes and digests of the documents, and for each part of the tokens those that this task has seen more than once."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("part", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
+
+    def common(held):
+        tokens = np.concatenate(held)
+        tokens.sort()
+        start, end = runs(tokens)
+        often = end - start > 1
+        tokens, counts = tokens[start[often]], (end - start)[often].astype(np.uint32)
+        cut = np.searchsorted(_part(tokens, parts), np.arange(parts + 1))
+        rows = [(i, tokens[x:y].tobytes(), counts[x:y].tobytes()) for i, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
+        if rows:
+            none = [None] * len(rows)
+            yield record_batch(schema, none, none, none, none, *zip(*rows, strict=True))
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
-        any_rows = False
+        held, size = [], 0
         for batch in slices(batches):
-            any_rows = True
             sets = shingle_sets(batch.column(1).to_pylist(), n)
-            for s in sets:
-                if len(s):
-                    np.add.at(sketch, _slots(s), 1)
-            np.minimum(sketch, 255, out=sketch)
             d = [_digest(s) for s in sets]
-            k = len(sets)
-            yield record_batch(schema, batch.column(0), [len(s) for s in sets], [x[0] for x in d], [x[1] for x in d], [None] * k, [None] * k)
-        if any_rows:
-            pack = zstandard.ZstdCompressor(level=1)
-            step = len(sketch) // SKETCH_PARTS
-            for i in range(SKETCH_PARTS):
-                yield record_batch(schema, [None], [None], [None], [None], [i], [pack.compress(sketch[i * step : (i + 1) * step].astype(np.uint8).tobytes())])
+            none = [None] * len(sets)
+            yield record_batch(schema, batch.column(0), [len(s) for s in sets], [x[0] for x in d], [x[1] for x in d], none, none, none)
+            held += sets
+            size += sum(map(len, sets))
+            if size > COUNTED:
+                yield from common(held)
+                held, size = [], 0
+        if size:
+            yield from common(held)
+
+    return run
+
+
+def _part(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """The part, by range, of sorted tokens."""
+    return ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _most_common(limit: int):
+    """Of each part of the tokens the most frequent ones, with their levels."""
+    schema = pa.schema([("tokens", pa.binary()), ("levels", pa.binary())])
+
+    def merged(held):
+        tokens, counts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        order = np.argsort(tokens)
+        start, _ = runs(tokens[order])
+        return tokens[order][start], np.add.reduceat(counts[order], start)
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, tokens, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = held.setdefault(part, [])
+                own.append((np.frombuffer(tokens, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)))
+                if len(own) > 64:
+                    own[:] = [merged(own)]
+        for own in held.values():
+            tokens, counts = merged(own)
+            if len(tokens) > limit:
+                kept = np.argpartition(-counts, limit - 1)[:limit]
+                tokens, counts = tokens[kept], counts[kept]
+            yield record_batch(schema, [tokens.tobytes()], [_level(counts).tobytes()])
 
     return run
 
 
-def _add_sketches(batches):
-    """The sum of each part of the sketch, held at 255."""
-    total: dict[int, np.ndarray] = {}
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(unpack.decompress(data), np.uint8)
-            total[part] = np.minimum(total[part] + own, 255).astype(np.uint16) if part in total else own.astype(np.uint16)
-    schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
-    for part, counts in total.items():
-        yield record_batch(schema, [part], [zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint8).tobytes())])
-
-
-def _sketch(surveyed: DataFrame) -> np.ndarray:
-    rows = surveyed.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_add_sketches, "part int, counts binary").collect()
-    out, step = np.zeros(1 << SKETCH_BITS, np.uint8), (1 << SKETCH_BITS) // SKETCH_PARTS
-    unpack = zstandard.ZstdDecompressor()
-    for r in rows:
-        out[r.part * step : (r.part + 1) * step] = np.frombuffer(unpack.decompress(bytes(r.counts)), np.uint8)
+def _table(surveyed: DataFrame, parts: int) -> np.ndarray:
+    """The level of every slot: that of the most frequent known token there, 0 where none is known."""
+    rows = surveyed.where("part is not null").select("part", "tokens", "counts").repartition(parts, "part").mapInArrow(released(_most_common(max(1, KNOWN // parts))), "tokens binary, levels binary").collect()
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for r in rows:  # at most KNOWN tokens of 9 bytes
+        np.maximum.at(out, _slots(np.frombuffer(bytes(r.tokens), np.uint64)), np.frombuffer(bytes(r.levels), np.uint8))
     return out
 
 
 def _postings(n: int, t: Fraction, per: int, sketch):
     schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("hist", pa.binary())])
-    cells = np.array([[min(i, j) * HOT_BLOCKS + max(i, j) + 1 for j in range(HOT_BLOCKS)] for i in range(HOT_BLOCKS)], np.uint64)
+
+    def dealt(tokens, levels, d):
+        """Instead of a hot token, one key for each pair of blocks that the node's block is in."""
+        out = []
+        for token, k in zip(tokens, _blocks(levels).tolist(), strict=True):
+            other = np.arange(k, dtype=np.uint64)
+            own = np.uint64(d % k)
+            out.append(mix(token ^ mix(np.minimum(other, own) * np.uint64(MOST_BLOCKS) + np.maximum(other, own) + np.uint64(1))))
+        return np.concatenate(out)
 
     def run(batches):
         counts = sketch.value
@@ -136,9 +195,10 @@ def _postings(n: int, t: Fraction, per: int, sketch):
                 known.add(d)
                 seen = counts[_slots(s)]
                 p = _prefix(s, seen, 0, _prefix_size(len(s), t))
-                hot = counts[_slots(p)] == 255
+                levels = counts[_slots(p)]
+                hot = levels >= _HOT_LEVEL
                 if hot.any():
-                    p = np.concatenate((p[~hot], mix(p[hot][:, None] ^ mix(cells[d % HOT_BLOCKS])[None, :]).ravel()))
+                    p = np.concatenate((p[~hot], dealt(p[hot], levels[hot], d)))
                 h = _histogram(s, per).tobytes()
                 token.append(p.view(np.int64))
                 node.append(np.full(len(p), d))
@@ -351,8 +411,9 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, threshold: str | float =
     t = Fraction(str(threshold))
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    surveyed = checkpointed(base.mapInArrow(released(_survey(n)), "doc_id long, n_shingles long, d1 long, d2 long, part int, counts binary"))
-    sketch = spark.sparkContext.broadcast(_sketch(surveyed))
+    parts = min(4096, max(16, base.rdd.getNumPartitions() // 2))
+    surveyed = checkpointed(base.mapInArrow(released(_survey(n, parts)), "doc_id long, n_shingles long, d1 long, d2 long, part int, tokens binary, counts binary"))
+    sketch = spark.sparkContext.broadcast(_table(surveyed, parts))
     rows = surveyed.where("part is null").select("doc_id", "n_shingles", "d1", "d2")
     nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n_shingles").alias("n"))
     nodes = checkpointed(nodes)
