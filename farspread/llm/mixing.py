@@ -9,16 +9,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed
+from .common import checkpointed
 
 #: Cells that one task may rake; more are raked over shuffled windows.
 ONE_TASK_CELLS = 200_000
 SEED = "mix"
-#: Without a limit rounds go on until no marginal's share is further from its target than this.
-TOLERANCE = 1e-6
+#: Raking goes on until no marginal's share is further from its target than this, or for so many rounds.
+TOLERANCE = 1e-10
+ROUNDS = 150
 
 
 def words_in(text: Column) -> Column:
@@ -37,79 +38,81 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def rake(cells: DataFrame, keys: list[str], targets: dict[str, DataFrame] | None = None, *, power: float = 0.7, rounds: int = 12, limit: float | None = 2.0) -> DataFrame:
-    """cells (keys, tokens) with fitted, the raked tokens.
+def _shares(cells: DataFrame, key: str, targets: DataFrame | None, power: float, others: float) -> DataFrame:
+    """(_k, share) of every category: its target weight, over those of all categories that have tokens."""
+    own = cells.groupBy(F.col(key).alias("_k")).agg(F.sum("tokens").alias("_tokens"))
+    weight = F.pow(F.col("_tokens").cast("double"), F.lit(power))
+    if targets is not None:
+        t = targets.select(F.col(key).alias("_t"), F.col("share").cast("double").alias("_w"))
+        own = own.join(t, F.col("_k").eqNullSafe(F.col("_t")), "left")
+        weight = F.when(F.col("_w").isNull(), F.lit(float(others))).otherwise(F.col("_w"))
+    own = checkpointed(own.select("_k", F.when(F.col("_tokens") > 0, weight).otherwise(0.0).alias("_w")))
+    total = own.agg(F.sum("_w")).first()[0] or 0.0
+    return own.select("_k", (F.col("_w") / F.lit(total) if total > 0 else F.lit(0.0)).alias(f"_share_{key}"))
 
-    ``targets[key]`` has (key, share); without one a category's share goes as its tokens to ``power``. Categories that a
-    target lacks get nothing, and shares are scaled to those that have tokens. Null is a category of its own. After each
-    round a cell is held to ``limit`` times its tokens, lest a rare cell make all other probabilities small; the targets
-    are missed where that binds. With ``limit`` None no cell is held, and ``rounds`` more are made until every marginal is
-    within TOLERANCE of its target, or comes no nearer because no table of these cells has them all.
+
+def rake(cells: DataFrame, keys: list[str], targets: dict[str, DataFrame] | None = None, *, power: float = 0.7, others: float = 0.0, rounds: int = 6, most: int = ROUNDS) -> DataFrame:
+    """cells (keys, tokens) with fitted, the raked tokens, and _share_<key>, the targets.
+
+    ``targets[key]`` has (key, share), weights of categories; one that it lacks weighs ``others``. Without a target table a
+    category weighs its tokens to ``power``. Weights are scaled to the categories that have tokens. Null is a category of its
+    own. After every ``rounds`` rounds the marginals are compared with their targets: raking ends when none is further off
+    than TOLERANCE, when they come no nearer (no table of these cells has all targets), or after ``most`` rounds.
     """
-    frame = cells
-    for k in keys:
-        if targets and k in targets:
-            t = targets[k].select(F.col(k).alias("_k"), F.col("share").cast("double").alias(f"_want_{k}"))
-            frame = frame.join(t, frame[k].eqNullSafe(F.col("_k")), "left").drop("_k").fillna(0.0, [f"_want_{k}"])
-    frame = checkpointed(frame)
-    if frame.count() <= ONE_TASK_CELLS:
-        frame = frame.coalesce(1)
+    targets = targets or {}
+    frame = checkpointed(cells)
+    n = frame.count()
+    total = float(frame.agg(F.sum("tokens")).first()[0] or 0)
     for k in keys:
-        if not (targets and k in targets):
-            own = F.sum("tokens").over(Window.partitionBy(k)).cast("double")
-            frame = frame.withColumn(f"_want_{k}", F.when(own > 0, F.pow(own, F.lit(power))).otherwise(0.0))
-    everything = Window.partitionBy(F.lit(0).alias("_all"))
-    for k in keys:  # a category's want counts once, at one of its cells, if it has tokens
-        first = F.row_number().over(Window.partitionBy(k).orderBy(*keys)) == 1
-        has = F.sum("tokens").over(Window.partitionBy(k)) > 0
-        frame = frame.withColumn("_first", first).withColumn("_has", has).withColumn("_once", F.when(F.col("_first") & F.col("_has"), F.col(f"_want_{k}")).otherwise(0.0))
-        frame = frame.withColumn("_all_once", F.sum("_once").over(everything)).withColumn(f"_share_{k}", F.when(F.col("_all_once") > 0, F.col(f"_want_{k}") / F.col("_all_once")).otherwise(0.0)).drop("_first", "_has", "_once", "_all_once")
-    total = F.sum("tokens").over(everything).cast("double")
-    frame = frame.withColumn("_total", total).withColumn("fitted", F.col("tokens").cast("double"))
-
-    def raked(frame):
+        shares = _shares(frame, k, targets.get(k), power, others)
+        frame = frame.join(shares, frame[k].eqNullSafe(F.col("_k")), "left").drop("_k")
+    frame = frame.withColumn("fitted", F.col("tokens").cast("double"))
+    missed = float("inf")
+    for _ in range(0, most, rounds):
+        if n <= ONE_TASK_CELLS:
+            frame = frame.coalesce(1)
         for _ in range(rounds):
             for k in keys:
                 own = F.sum("fitted").over(Window.partitionBy(k))
-                frame = frame.withColumn("_sum", own).withColumn("fitted", F.when(F.col("_sum") > 0, F.col("fitted") * F.col("_total") * F.col(f"_share_{k}") / F.col("_sum")).otherwise(0.0))
-            if limit is not None:
-                frame = frame.withColumn("fitted", F.least(F.col("fitted"), F.col("tokens") * F.lit(limit)))
-        return frame
-
-    frame = raked(frame)
-    if limit is None:
-        missed = float("inf")
-        while True:
-            frame = checkpointed(frame)
-            away = [frame.groupBy(k).agg(F.abs(F.sum("fitted") / F.first("_total") - F.first(f"_share_{k}")).alias("away")).agg(F.max("away")).first()[0] or 0.0 for k in keys]
-            if max(away) <= TOLERANCE or max(away) > 0.99 * missed:
-                break
-            missed = max(away)
-            frame = raked(frame.coalesce(1) if frame.count() <= ONE_TASK_CELLS else frame)
+                frame = frame.withColumn("_sum", own).withColumn("fitted", F.when(F.col("_sum") > 0, F.col("fitted") * F.lit(total) * F.col(f"_share_{k}") / F.col("_sum")).otherwise(0.0))
+        frame = checkpointed(frame.drop("_sum"))
+        if not total:
+            break
+        off = frame.coalesce(1) if n <= ONE_TASK_CELLS else frame
+        off = off.select(F.greatest(*[F.abs(F.sum("fitted").over(Window.partitionBy(k)) / F.lit(total) - F.col(f"_share_{k}")) for k in keys]).alias("away"))
+        away = off.agg(F.max("away")).first()[0] or 0.0
+        if away <= TOLERANCE or away > 0.999 * missed:
+            break
+        missed = away
     return frame.select(*keys, "tokens", "fitted", *[f"_share_{k}" for k in keys])
 
 
 def marginals(cells: DataFrame, keys: list[str], targets: dict[str, DataFrame] | None = None, **how) -> DataFrame:
     """(key, category, tokens, target, result) of raked cells: shares that were asked for and that came out."""
     fitted = checkpointed(rake(cells, keys, targets, **how))
+    total = fitted.agg(F.sum("fitted")).first()[0] or 0.0
     out = None
     for k in keys:
-        total = F.sum("result").over(Window.partitionBy(F.lit(0)))
         own = fitted.groupBy(F.col(k).cast("string").alias("category")).agg(F.sum("tokens").alias("tokens"), F.first(f"_share_{k}").alias("target"), F.sum("fitted").alias("result"))
-        own = own.select(F.lit(k).alias("key"), "category", "tokens", "target", F.when(total > 0, F.col("result") / total).otherwise(0.0).alias("result"))
+        own = own.select(F.lit(k).alias("key"), "category", "tokens", "target", (F.col("result") / F.lit(total) if total > 0 else F.lit(0.0)).alias("result"))
         out = own if out is None else out.unionByName(own)
     return out
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, *, power: float = 0.7, rounds: int = 12, limit: float | None = 2.0, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, *, power: float = 0.7, others: float = 0.0, seed: str = SEED,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
+) -> DataFrame:
     """docs with mix_tokens, mix_topic, mix_probability and mix_kept, raked to source, language and topic marginals.
 
-    The probability of a cell is its fitted tokens over its tokens, over the largest such ratio, so that kept documents
-    have the marginals in expectation. A document is kept if a number in [0, 1) made from its id is below it.
+    ``targets`` has tables (source, share), (lang, share), (topic, share); see rake. The probability of a cell is its fitted
+    tokens over its tokens, over the largest such ratio, so that kept documents have the marginals in expectation. A
+    document is kept if a number in [0, 1) made from its id is below it.
 
     * A text without words weighs nothing; a cell of such texts has probability 0. A null text is one of them.
     * A null source or language is a category of its own. A null id draws one number for all; rows that repeat an id are
       kept or not together if they lie in one cell.
+    * A text of any length is counted as a whole, in the JVM.
     * All columns are kept; the four that are added replace those of the same name. Empty in, empty out.
     """
     added = ["mix_tokens", "mix_topic", "mix_probability", "mix_kept"]
@@ -121,39 +124,48 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, *, power:
     rows = rows.select("row", "_tokens", F.col(f"row.`{source_col}`").cast("string").alias("_source"), F.col(f"row.`{lang_col}`").cast("string").alias("_lang"), (topic_of(text, F.col("_tokens")) if topic is None else topic).alias("_topic"))
     cells = checkpointed(rows.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")))
     wanted = {names[k]: t.withColumnRenamed(k, names[k]) for k, t in (targets or {}).items()}
-    fitted = rake(cells, keys, wanted, power=power, rounds=rounds, limit=limit).withColumn("_ratio", F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(0.0))
+    fitted = rake(cells, keys, wanted, power=power, others=others).withColumn("_ratio", F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(0.0))
     fitted = checkpointed(fitted)
     most = fitted.agg(F.max("_ratio")).first()[0] or 0.0
     probability = (F.col("_ratio") / F.lit(most) if most > 0 else F.lit(0.0)).alias("_p")
     fitted = fitted.select(*[F.col(k).alias(f"{k}_") for k in keys], probability)
-    fitted = F.broadcast(fitted) if cells.count() <= BROADCAST_ROWS // 4 else fitted
+    # Cells hold three names of some 20 bytes; more of them are joined by a shuffle.
+    fitted = F.broadcast(fitted) if cells.count() <= ONE_TASK_CELLS else fitted
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
     out = rows.join(fitted, same, "left")
     kept = uniform(F.col(f"row.`{id_col}`"), seed) < F.col("_p")
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added], F.col("_tokens").alias(added[0]), F.col("_topic").alias(added[1]), F.col("_p").alias(added[2]), F.coalesce(kept, F.lit(False)).alias(added[3]))
 
 
-def mix_sql(documents: str = "documents", power: float = 0.7, rounds: int = 12, limit: float = 2.0, seed: str = SEED) -> str:
-    """DuckDB SQL of (doc_id, source, lang, topic, tokens, probability, kept) for mix() without targets."""
-    keys = ("source", "lang", "topic")
+def target_tables(spark: SparkSession, weights: dict[str, dict[str, float]]) -> dict[str, DataFrame]:
+    """Target tables from weights by key and category."""
+    return {k: spark.createDataFrame([*w.items()], f"{k} string, share double") for k, w in weights.items()}
+
+
+def mix_sql(weights: dict[str, dict[str, float]], others: float, documents: str = "documents", rounds: int = 150, seed: str = SEED) -> str:
+    """DuckDB SQL of (doc_id, source, lang, topic, tokens, probability, kept) for mix() with target_tables(weights)."""
+    words = "coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT"
+    less = lambda gone: f"coalesce(length(text) - length({gone}), 0)"
+    pipes, lines, symbols = less("replace(text, '|', '')"), less("replace(text, chr(10), '')"), less("regexp_replace(text, '[#*$%&]', '', 'g')")
+    topic = f"CASE WHEN 5 * {pipes} >= tokens THEN 'table' WHEN 2 * {symbols} >= tokens THEN 'markup' WHEN 12 * {lines} >= tokens THEN 'list' ELSE 'prose' END"
     parts = [
-        f"w0 AS (SELECT doc_id, source, lang, text, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS tokens FROM {documents})",
-        "w AS (SELECT doc_id, source, lang, tokens, CASE WHEN 5 * coalesce(length(text) - length(replace(text, '|', '')), 0) >= tokens THEN 'table' WHEN 2 * coalesce(length(text) - length(regexp_replace(text, '[#*$%&]', '', 'g')), 0) >= tokens THEN 'markup' WHEN 12 * coalesce(length(text) - length(replace(text, chr(10), '')), 0) >= tokens THEN 'list' ELSE 'prose' END AS topic FROM w0)",
+        f"w0 AS (SELECT doc_id, source, lang, text, {words} AS tokens FROM {documents})",
+        f"w AS (SELECT doc_id, source, lang, tokens, {topic} AS topic FROM w0)",
         "c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM w GROUP BY ALL)",
     ]
-    for k in keys:
-        parts.append(f"s_{k} AS (SELECT {k}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {power}) ELSE 0.0 END AS want FROM c GROUP BY {k})")
-        parts.append(f"t_{k} AS (SELECT {k}, want / sum(want) OVER () AS share FROM s_{k})")
-    parts.append("f0 AS (SELECT c.*, tokens AS fitted, sum(tokens) OVER () AS total FROM c)")
-    last = "f0"
-    for i in range(rounds):
-        for k in keys:
-            name = f"f{i}_{k}"
-            parts.append(f"{name} AS MATERIALIZED (SELECT f.source, f.lang, f.topic, f.tokens, f.total, CASE WHEN sum(f.fitted) OVER (PARTITION BY f.{k}) > 0 THEN f.fitted * f.total * t.share / sum(f.fitted) OVER (PARTITION BY f.{k}) ELSE 0.0 END AS fitted FROM {last} f JOIN t_{k} t ON f.{k} IS NOT DISTINCT FROM t.{k})")
-            last = name
-        parts.append(f"f{i} AS MATERIALIZED (SELECT * REPLACE (least(fitted, tokens * {limit}) AS fitted) FROM {last})".replace("f0 AS", "f00 AS"))
-        last = f"f{i}" if i else "f00"
-    parts.append(f"r AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN fitted / tokens ELSE 0.0 END AS ratio FROM {last})")
+    for k in ("source", "lang", "topic"):
+        named = " ".join(f"WHEN {k} = '{name}' THEN {float(w)}" for name, w in weights[k].items())
+        parts.append(f"s_{k} AS (SELECT {k}, CASE WHEN sum(tokens) <= 0 THEN 0.0 {named} ELSE {float(others)} END::DOUBLE AS want FROM c GROUP BY {k})")
+        parts.append(f"t_{k} AS (SELECT {k}, want / sum(want) OVER () AS share_{k} FROM s_{k})")
+    join = " ".join(f"JOIN t_{k} ON c.{k} IS NOT DISTINCT FROM t_{k}.{k}" for k in ("source", "lang", "topic"))
+    parts.append(f"f0 AS (SELECT c.*, share_source, share_lang, share_topic, sum(c.tokens) OVER () AS total FROM c {join})")
+    step = "f WHERE i < {n}".format(n=rounds)
+    for k in ("source", "lang", "topic"):
+        scaled = f"CASE WHEN sum(fitted) OVER (PARTITION BY {k}) > 0 THEN fitted * total * share_{k} / sum(fitted) OVER (PARTITION BY {k}) ELSE 0.0 END"
+        step = f"(SELECT * REPLACE ({scaled} AS fitted) FROM {step})"
+    parts.append(f"f AS (SELECT 0 AS i, f0.*, tokens AS fitted FROM f0 UNION ALL SELECT * REPLACE (i + 1 AS i) FROM {step})")
+    parts.append(f"r AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN fitted / tokens ELSE 0.0 END AS ratio FROM f WHERE i = {rounds})")
     parts.append("p AS (SELECT source, lang, topic, ratio / (SELECT max(ratio) FROM r) AS probability FROM r)")
     draw = f"('0x' || substr(md5('{seed}:' || coalesce(w.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0"
-    return f"WITH {', '.join(parts)} SELECT w.doc_id, w.source, w.lang, w.topic, w.tokens, round(p.probability, 6) AS probability, {draw} < p.probability AS kept FROM w JOIN p ON w.source IS NOT DISTINCT FROM p.source AND w.lang IS NOT DISTINCT FROM p.lang AND w.topic = p.topic"
+    same = " AND ".join(f"w.{k} IS NOT DISTINCT FROM p.{k}" for k in ("source", "lang", "topic"))
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT w.doc_id, w.source, w.lang, w.topic, w.tokens, round(p.probability, 6) AS probability, {draw} < p.probability AS kept FROM w JOIN p ON {same}"

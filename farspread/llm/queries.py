@@ -21,8 +21,17 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_chunks", "n_repeated_chunks", "bytes_cut", "cut_spans")
 
 
+#: Target weights of the mixture, by key and category, and the weight of every category that isn't named.
+MIXTURE = {
+    "source": {"src0": 1.5},
+    "lang": {"en": 12.0, "de": 3.0, "fr": 3.0, "es": 2.0},
+    "topic": {"prose": 25.0, "table": 0.9, "markup": 0.9, "list": 0.2},
+}
+OTHERS = 1.0
+
+
 def op3_ipf_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(documents(spark, sf_dir))
+    out = mixing.mix(documents(spark, sf_dir), mixing.target_tables(spark, MIXTURE), others=OTHERS)
     return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
 
 
@@ -112,4 +121,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_substring_dedup, op3_ipf_mix, op4_warc_revisits, op5_linear_grouping_pack, op6_rank_order_language, op7_multi_order_jaccard, op8_rule_ensemble, op9_nnpu_toxicity, op10_block_max_wand, pipeline)}
-SQL = {"op3_ipf_mix": mixing.mix_sql(), "op4_warc_revisits": OP4_SQL}
+SQL = {"op3_ipf_mix": mixing.mix_sql(MIXTURE, OTHERS), "op4_warc_revisits": OP4_SQL}

@@ -69,11 +69,69 @@ def test_substrings(docs, empty):
     assert by[13].text == rows()[13][1] and by[14].bytes_cut > 200 and "quite another start" in by[14].text
     assert by[15].token == "t" and len(got) == len(rows())
     assert substring_dedup.dedup_substrings(empty).count() == 0
-    for data, ends in substring_dedup.chunk_bounds([r[1] for r in rows()], bits=2, least=32, most=512):
+    for data, ends in substring_dedup.chunk_bounds([r[1] for r in rows()], bits=2, least=16, most=512):
         assert b"".join(data[a:b] for a, b in zip([0, *ends], ends, strict=False)) == data
         [data[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def cut_by_hand(data, *, bits=2, least=16, most=512, least_run=96):
+    """(row number, what is left) by comparing chunks themselves."""
+    shape = {"bits": bits, "least": least, "most": most}
+    cut = [[d[a:b] for a, b in zip([0, *e], e, strict=False)] for d, e in substring_dedup.chunk_bounds([t for _, t in data], **shape)]
+    order = lambda i: 1 << 63 if i is None else i
+    first = {}
+    for (i, _), chunks in zip(data, cut, strict=True):
+        for c in chunks:
+            first[c] = min(first.get(c, order(i)), order(i))
+    for (i, text), chunks in zip(data, cut, strict=True):
+        flags = [first[c] < order(i) or c in chunks[:k] for k, c in enumerate(chunks)]
+        gone, k = set(), 0
+        while k < len(flags):
+            m = k + 1
+            while m < len(flags) and flags[m] == flags[k]:
+                m += 1
+            if flags[k] and (sum(map(len, chunks[k:m])) >= least_run or m - k == len(flags)):
+                gone |= set(range(k, m))
+            k = m
+        yield None if text is None else b"".join(c for k, c in enumerate(chunks) if k not in gone).decode(), len(gone)
+
+
+def test_substrings_against_comparing_chunks(spark):
+    import random
+
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    passages = [say(90) for _ in range(5)]
+    texts = [" ".join((say(rng.randint(5, 60)), rng.choice(passages), say(rng.randint(0, 60)))) for _ in range(60)]
+    data = [*enumerate(texts), (3, say(200) + " " + passages[1]), (3, passages[2] + say(100)), (None, passages[0]), (None, passages[0] + " " + say(120)), (None, say(150)), (70, None), (71, ""), (72, passages[3] + " " + passages[3])]
+    # rows that share an id, and rows without one, must not get each other's places
+    unique = say(300)
+    data += [(200, passages[4]), (200, unique), (None, unique + " of its own")]
+    want = collections.Counter((i, *x) for (i, _), x in zip(data, cut_by_hand(data), strict=True))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    for how in ({}, {"hot": 3}):
+        got = collections.Counter((r.doc_id, r.text, r.n_repeated_chunks) for r in substring_dedup.dedup_substrings(df, **how).collect())
+        assert got == want
+    assert want[(200, unique, 0)] == 1
+
+
+def test_passages_of_over_50_words_are_found(spark):
+    import random
+
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.choice((2, 3, 4, 5, 6, 7, 9)))) for _ in range(4000)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    data, size = [], {}
+    for i in range(300):
+        passage = say(rng.randint(51, 80))
+        data += [(2 * i, f"{say(rng.randint(20, 200))} {passage} {say(40)}"), (2 * i + 1, f"{say(rng.randint(20, 200))} {passage} {say(60)}")]
+        size[2 * i + 1] = len(passage)
+    share = [r.bytes_cut / size[r.doc_id] for r in substring_dedup.dedup_substrings(spark.createDataFrame(data, "doc_id long, text string")).collect() if r.doc_id in size]
+    print(f"no cut {sum(x == 0 for x in share) / 300:.3f}, under half {sum(x < 0.5 for x in share) / 300:.3f}, bytes cut {sum(share) / 300:.3f}")
+    assert sum(x == 0 for x in share) <= 6 and sum(x < 0.5 for x in share) <= 24 and max(share) <= 1
+
+
 def test_substrings_without_spaces(spark):
     import random
 
@@ -85,7 +143,7 @@ def test_substrings_without_spaces(spark):
         data += [(2 * i, han(rng.randint(100, 400)) + shared + han(200)), (2 * i + 1, han(rng.randint(100, 400)) + shared + han(200))]
     got = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert all(got[2 * i].bytes_cut == 0 and got[2 * i + 1].bytes_cut > 3600 for i in range(20))
-    for body, ends in substring_dedup.chunk_bounds([t for _, t in data], bits=2, least=32, most=512):
+    for body, ends in substring_dedup.chunk_bounds([t for _, t in data], bits=2, least=16, most=512):
         assert max(b - a for a, b in zip([0, *ends], ends, strict=False)) <= 512 + 32
         [body[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
 
@@ -199,17 +257,25 @@ def test_mixing_meets_targets(spark):
     share = {"prose": 400, "list": 4, "table": 20}
     data = [(topic, f"s{i % 4}", "en" if i % 5 else "fr", texts[topic]) for topic, n in share.items() for i in range(n)]
     df = spark.createDataFrame([(i, t, s, g) for i, (_, s, g, t) in enumerate(data)], "doc_id long, text string, source string, lang string")
-    made = mixing.mix(df, limit=None).collect()
-    for key, of in (("source", lambda r: r.source), ("lang", lambda r: r.lang), ("topic", lambda r: r.mix_topic)):
-        tokens, got = collections.Counter(), collections.Counter()
-        for r in made:
-            tokens[of(r)] += r.mix_tokens
-            got[of(r)] += r.mix_tokens * r.mix_probability
-        want = {k: n**0.7 for k, n in tokens.items()}
-        assert all(abs(got[k] / got.total() - w / sum(want.values())) < 1e-5 for k, w in want.items()), key
-    assert max(r.mix_probability for r in made) == 1
-    cells = df.select("source", "lang", mixing.words_in(F.col("text")).alias("n"), mixing.topic_of(F.col("text"), mixing.words_in(F.col("text"))).alias("topic")).groupBy("source", "lang", "topic").agg(F.sum("n").alias("tokens"))
-    assert all(abs(r.target - r.result) < 1e-5 for r in mixing.marginals(cells, ["source", "lang", "topic"], limit=None).collect())
+    declared = {"source": {"s0": 4.0, "s1": 2.0}, "lang": {"en": 3.0, "fr": 1.0, "absent": 9.0}, "topic": {"prose": 6.0, "list": 1.0, "table": 1.0}}
+    for how in ({}, {"targets": mixing.target_tables(spark, declared), "others": 1.0}):
+        made = mixing.mix(df, **how).collect()
+        for key, of in (("source", lambda r: r.source), ("lang", lambda r: r.lang), ("topic", lambda r: r.mix_topic)):
+            tokens, got = collections.Counter(), collections.Counter()
+            for r in made:
+                tokens[of(r)] += r.mix_tokens
+                got[of(r)] += r.mix_tokens * r.mix_probability
+            want = {k: declared[key].get(k, 1.0) if how else n**0.7 for k, n in tokens.items()}
+            assert all(abs(got[k] / got.total() - w / sum(want.values())) < 1e-8 for k, w in want.items()), key
+        assert max(r.mix_probability for r in made) == 1
+    words = mixing.words_in(F.col("text"))
+    cells = df.select("source", "lang", words.alias("n"), mixing.topic_of(F.col("text"), words).alias("topic")).groupBy("source", "lang", "topic").agg(F.sum("n").alias("tokens"))
+    keys = ["source", "lang", "topic"]
+    assert all(abs(r.target - r.result) < 1e-8 for r in mixing.marginals(cells, keys).collect())
+    # no table of these cells has both targets: raking ends and the miss is there to read
+    apart = spark.createDataFrame([("a", "x", 5), ("b", "y", 5)], "source string, lang string, tokens long")
+    targets = mixing.target_tables(spark, {"source": {"a": 1.0, "b": 9.0}, "lang": {"x": 9.0, "y": 1.0}})
+    assert max(abs(r.target - r.result) for r in mixing.marginals(apart, ["source", "lang"], targets).collect()) > 0.5
 
 
 def test_rules_and_models(spark, docs, empty):
