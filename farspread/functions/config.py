@@ -1,4 +1,4 @@
-"""Validated settings. Their defaults are part of a query's meaning."""
+"""Validated settings. Names and defaults are fixed values: they are part of a query's meaning."""
 
 from __future__ import annotations
 
@@ -78,9 +78,15 @@ class Selection:
     second_pick: str = "farthest"
     fill: str = "fps"
     trim: str = "population"
+    n_init: int = 10
+    minibatch_threshold: int = 20_000
+    strict_determinism: bool = False
 
     def __post_init__(self):
         _at_least("n_select", self.n_select, 1)
+        _at_least("k", self.k, 1)
+        _at_least("n_init", self.n_init, 1)
+        _at_least("minibatch_threshold", self.minibatch_threshold, 1)
         _one_of("method", self.method, "kmeans", "fps")
         _one_of("normalize", self.normalize, "l2", "none")
         _at_least("per_cluster", self.per_cluster, 1)
@@ -89,6 +95,11 @@ class Selection:
         _one_of("trim", self.trim, "population", "fps")
         parse_init(self.fps_init)
 
+    def options(self) -> dict:
+        """Arguments of select_diverse."""
+        return {"method": self.method, "min_dist2": self.min_dist2, "init": self.fps_init, "k": self.k, "per_cluster": self.per_cluster, "second_pick": self.second_pick, "fill": self.fill,
+                "trim": self.trim, "random_state": self.random_state, "n_init": self.n_init, "minibatch_threshold": self.minibatch_threshold}
+
 
 def parse_init(init: str | None) -> tuple[str, int | None]:
     text = init or "farthest_from_mean"

@@ -19,6 +19,13 @@ def needed_axes(pbc: Column, cell: Column, box: Box) -> Column:
     return F.zip_with(pbc, length, lambda p, n: ~p | (n < box.min_length))
 
 
+def needs_cell(cell, pbc, box: Box) -> bool:
+    """Whether a direction of this structure must be built."""
+    if box.mode != "auto":
+        return box.mode == "box"
+    return bool((~np.asarray(pbc, bool) | (np.linalg.norm(np.array(cell, float).reshape(3, 3), axis=1) < box.min_length)).any())
+
+
 def padding_directions(fixed: list[np.ndarray], n: int) -> list[np.ndarray]:
     """n unit vectors orthogonal to the fixed ones and each other, each from the Cartesian axis with most left of it."""
     basis: list[np.ndarray] = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .checkpoints import checkpointed
 
+log = logging.getLogger(__name__)
+
 
 def assign(df: DataFrame, centres: np.ndarray) -> DataFrame:
     """df with cluster and center_d2: the nearest centre, ties to the lowest number."""
@@ -29,35 +33,78 @@ def assign(df: DataFrame, centres: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, f"{fields}, cluster long, center_d2 double")
 
 
-def lloyd(df: DataFrame, centres: np.ndarray, rounds: int = 20, tolerance: float = 1e-6) -> tuple[np.ndarray, DataFrame]:
-    """Centres and assigned rows. Sums are added up before they are shuffled; the driver gets k rows a round."""
-    centres = np.asarray(centres, float)
+def _sums(starts):
+    """Of each start and cluster the number of rows, their sum, and the squared distances to the centre, task by task."""
+
+    def run(batches):
+        centres = starts.value
+        held = {i: (np.zeros_like(c), np.zeros(len(c), np.int64), np.zeros(len(c))) for i, c in centres.items()}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            own = (x**2).sum(1)
+            for i, c in centres.items():
+                d = own[:, None] + (c**2).sum(1)[None, :] - 2 * x @ c.T
+                k = d.argmin(1)
+                total, count, cost = held[i]
+                np.add.at(total, k, x)
+                count += np.bincount(k, minlength=len(c))
+                cost += np.bincount(k, np.maximum(d[np.arange(len(x)), k], 0), minlength=len(c))
+        for i, (total, count, cost) in held.items():
+            own = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i)), pa.array(own), pa.array(count[own]), pa.array(cost[own]), pa.array(list(total[own]), pa.list_(pa.float64()))], names=["start", "cluster", "n", "cost", "total"])
+
+    return run
+
+
+def _added(batches):
+    """Sums of arrays by (start, cluster): no number becomes a row of its own."""
+    held: dict[tuple, list] = {}
+    for batch in batches:
+        for start, cluster, n, cost, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = held.setdefault((start, cluster), [0, 0.0, 0.0])
+            own[0], own[1], own[2] = own[0] + n, own[1] + cost, own[2] + np.array(total)
+    if held:
+        keys = sorted(held)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([held[k][0] for k in keys], pa.int64()), pa.array([held[k][1] for k in keys]), pa.array([held[k][2].tolist() for k in keys], pa.list_(pa.float64()))], names=["start", "cluster", "n", "cost", "total"])
+
+
+_SUMS = "start long, cluster long, n long, cost double, total array<double>"
+
+
+def lloyd(df: DataFrame, centres, rounds: int = 300, tolerance: float = 1e-6) -> tuple[np.ndarray, DataFrame]:
+    """Centres and assigned rows of the best of several starts (a list of centre matrices, or one).
+
+    All starts are fitted in the same passes, each until no centre moves further than tolerance; rounds is a bound that
+    is warned about when it is met. The start with the least sum of squared distances wins, the first among equals. The
+    driver gets a row for each start and cluster in a round.
+    """
+    starts = [np.asarray(c, float) for c in (centres if isinstance(centres, list) else [centres])]
     df = checkpointed(df)
+    features = df.select(F.col("features").cast("array<double>").alias("features"))
+    moving = dict(enumerate(starts))
+    cost: dict[int, float] = {}
     for _ in range(rounds):
-        shared = df.sparkSession.sparkContext.broadcast(centres)
-
-        def sums(batches, shared=shared):
-            c = shared.value
-            total, count = np.zeros_like(c), np.zeros(len(c), np.int64)
-            for batch in batches:
-                if batch.num_rows:
-                    x = np.array(batch.column(0).to_pylist(), float)
-                    k = ((x**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
-                    np.add.at(total, k, x)
-                    count += np.bincount(k, minlength=len(c))
-            own = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count[own]), pa.array(list(total[own]), pa.list_(pa.float64()))], names=["cluster", "n", "total"])
-
-        parts = df.select("features").mapInArrow(sums, "cluster long, n long, total array<double>")
-        merged = parts.select("cluster", "n", F.posexplode("total").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-        new = centres.copy()
-        for r in merged.collect():  # k * d rows
-            new[r.cluster, r.i] = r.x / r.n
-        moved = float(((new - centres) ** 2).sum(1).max()) if len(centres) else 0.0
-        centres = new
-        if moved <= tolerance**2:
+        shared = df.sparkSession.sparkContext.broadcast(moving)
+        merged = features.mapInArrow(_sums(shared), _SUMS).repartition("start", "cluster").mapInArrow(_added, _SUMS)
+        new = {i: c.copy() for i, c in moving.items()}
+        cost |= dict.fromkeys(moving, 0.0)
+        for r in merged.collect():
+            new[r.start][r.cluster] = np.array(r.total) / r.n
+            cost[r.start] += r.cost
+        for i, c in list(moving.items()):
+            starts[i] = new[i]
+            if not len(c) or ((new[i] - c) ** 2).sum(1).max() <= tolerance**2:
+                moving.pop(i)
+            else:
+                moving[i] = new[i]
+        if not moving:
             break
-    return centres, assign(df, centres)
+    else:
+        log.warning("%d of %d k-means starts had not converged after %d rounds", len(moving), len(starts), rounds)
+    best = min(range(len(starts)), key=lambda i: (cost.get(i, 0.0), i))
+    return starts[best], assign(df, starts[best])
 
 
 def uncovered(assigned: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Farthest-point sampling: greedy, seeded by vectors already held, ties to the lowest position.
 
 Two strategies give the same picks. While the candidates' matrix fits a checked budget, one Arrow group runs the greedy
-loop. Beyond it the candidates stay distributed: each pick is one pass that keeps the least squared distance so far and
-one aggregate that finds the farthest row; lineage is cut every few picks in the shared checkpoint folder.
+loop. Beyond it the candidates stay distributed. A pass over them brings each row's least squared distance up to date
+with the picks so far and fetches the farthest FETCHED rows. The driver goes on picking among these as long as the next
+pick is provably the farthest of all: least distances only fall, so no row that wasn't fetched is beyond the last that
+was. So a pass gives many picks, and every pass is checkpointed.
 """
 
 from __future__ import annotations
@@ -11,16 +13,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import parse_init
-from ..functions.vectors import squared_distance
+from ..functions.vectors import is_finite, squared_distance
 from .checkpoints import checkpointed
 
 #: Bytes of float64 features that one group may hold.
 ONE_GROUP_BYTES = 512 << 20
-PASSES = 8
+#: Rows of a pass that come to the driver.
+FETCHED = 512
 
 
 @dataclass
@@ -105,24 +109,40 @@ def coverage_profile(x: np.ndarray | None, seed: np.ndarray | None = None) -> np
     return greedy(x, 0 if x is None else len(x), seed).scores
 
 
-def _seed_matrix(seed: DataFrame | None) -> np.ndarray | None:
+def seed_matrix(seed: DataFrame | np.ndarray | None) -> np.ndarray | None:
     """A bounded seed set on the driver; sets beyond the budget are folded in by nearest.min_squared_distance instead."""
-    return None if seed is None else as_matrix([r.features for r in seed.select("features").collect()], "seed")
+    if seed is None or isinstance(seed, np.ndarray):
+        return as_matrix(seed, "seed")
+    return as_matrix([r.features for r in seed.select("features").collect()], "seed")
 
 
-def fps(cand: DataFrame, n: int, seed: DataFrame | None = None, *, init: str = "farthest_from_mean", random_state: int = 0, min_dist2: float | None = None, allow_zero: bool = False, budget: int = ONE_GROUP_BYTES) -> DataFrame:
+def start_position(init: str, size: int, random_state: int) -> int | None:
+    """The place, by position, of a cold start's first pick among size rows; None for the one farthest from the mean."""
+    kind, number = parse_init(init)
+    if kind == "index":
+        return number % size
+    return int(np.random.default_rng(random_state).integers(size)) if kind == "random" else None
+
+
+def fps(cand: DataFrame, n: int, seed: DataFrame | np.ndarray | None = None, *, init: str = "farthest_from_mean", random_state: int = 0, min_dist2: float | None = None, allow_zero: bool = False, budget: int = ONE_GROUP_BYTES) -> DataFrame:
     """(rank, pos, score) of picks from cand (pos long, features array<double>); score is null without a predecessor.
 
-    ``seed`` has a features column. A wrong width or a value that isn't finite is an error.
+    ``seed`` has a features column, or is a matrix. A wrong width or a value that isn't finite is an error. ``index:J`` and
+    ``random`` count rows by pos. The picks don't depend on the strategy that the budget decides.
     """
-    shape = cand.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("most"), F.min(F.size("features")).alias("least")).first()
+    bad = F.max(F.when(is_finite(F.col("features")), 0).otherwise(1))
+    shape = cand.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("most"), F.min(F.size("features")).alias("least"), bad.alias("bad")).first()
     if shape.n and shape.most != shape.least:
         raise ValueError(f"features have {shape.least} to {shape.most} numbers")
-    rows = 0 if seed is None else seed.count()
-    if shape.n * (shape.most or 1) * 8 <= budget and rows * (shape.most or 1) * 8 <= budget:
-        x_seed = _seed_matrix(seed) if rows else None
-        if x_seed is not None and shape.n and x_seed.shape[1] != shape.most:
-            raise ValueError(f"seed features have {x_seed.shape[1]} numbers, candidates {shape.most}")
+    if shape.bad:
+        raise ValueError("features hold NaN or infinite values")
+    rows = 0 if seed is None else len(seed) if isinstance(seed, np.ndarray) else seed.count()
+    width = shape.most or 1
+    small_seed = rows * width * 8 <= budget or isinstance(seed, np.ndarray)
+    x_seed = seed_matrix(seed) if rows and small_seed else None
+    if x_seed is not None and shape.n and x_seed.shape[1] != shape.most:
+        raise ValueError(f"seed features have {x_seed.shape[1]} numbers, candidates {shape.most}")
+    if shape.n * width * 8 <= budget and (small_seed or not rows):
 
         def group(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("pos", kind="stable")
@@ -132,34 +152,82 @@ def fps(cand: DataFrame, n: int, seed: DataFrame | None = None, *, init: str = "
             return pd.DataFrame({"rank": np.arange(len(p.indices)), "pos": pdf["pos"].to_numpy()[p.indices], "score": score.astype(object)})
 
         return cand.select("pos", "features").withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda pdf: group(pdf), "rank long, pos long, score double")
-    return _fps_passes(cand, n, seed, shape.n, init=init, min_dist2=min_dist2, allow_zero=allow_zero)
+    return _fps_passes(cand, n, (x_seed if x_seed is not None else seed) if rows else None, shape.n, init=init, random_state=random_state, min_dist2=min_dist2, allow_zero=allow_zero)
+
+
+def _nearer(state: DataFrame, picks: np.ndarray, gone: list[int]) -> DataFrame:
+    """state with the least squared distance brought up to date; rows that were picked leave."""
+    shared = state.sparkSession.sparkContext.broadcast((picks, np.array(gone, np.int64)))
+
+    def run(batches):
+        picks, gone = shared.value
+        for batch in batches:
+            pos = batch.column("pos").to_numpy()
+            batch = batch.filter(pa.array(~np.isin(pos, gone)))
+            if not batch.num_rows:
+                continue
+            x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+            least = batch.column("least").to_numpy().copy()
+            for v in picks:  # summed as in the one group
+                np.minimum(least, squared_distances(x, v), out=least)
+            yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("features"), pa.array(least)], names=["pos", "features", "least"])
 
+    return state.mapInArrow(run, "pos long, features array<double>, least double")
 
-def _fps_passes(cand: DataFrame, n: int, seed: DataFrame | None, size: int, *, init: str, min_dist2: float | None, allow_zero: bool) -> DataFrame:
+
+def _fps_passes(cand: DataFrame, n: int, seed, size: int, *, init: str, random_state: int, min_dist2: float | None, allow_zero: bool) -> DataFrame:
     from .nearest import column_means, min_squared_distance
+    from .ordering import with_position
 
     spark = cand.sparkSession
-    state = cand.select("pos", "features")
-    kind, number = parse_init(init)
-    if seed is not None:
-        state = min_squared_distance(state, seed).withColumnRenamed("d2", "least")
-    elif kind == "farthest_from_mean":
-        mean = F.array(*[F.lit(float(m)) for m in column_means(state)])
-        state = state.withColumn("least", squared_distance("features", mean))
-    else:  # a random start isn't that of NumPy here: it is the row with the smallest hash
-        start = F.pmod(F.lit(number or 0), F.lit(size)) if kind == "index" else None
-        state = state.withColumn("least", F.when(F.col("pos") == start, 1.0).otherwise(0.0) if start is not None else F.abs(F.xxhash64("pos")).cast("double"))
-    state = checkpointed(state)
+    schema = "rank long, pos long, score double"
+    k = min(n, size)
+    if k <= 0:
+        return spark.createDataFrame([], schema)
+    plain = cand.select(F.col("pos").cast("long").alias("pos"), F.col("features").cast("array<double>").alias("features"))
     out: list[tuple] = []
-    cold = seed is None
-    while len(out) < min(n, size):
-        best = state.where("least is not null").agg(F.max_by(F.struct("pos", "features", "least"), F.struct("least", -F.col("pos"))).alias("b")).first().b
-        if best is None or (out and ((min_dist2 is not None and best.least < min_dist2) or (not allow_zero and best.least <= 0))):
+    if seed is None:
+        at = start_position(init, size, random_state)
+        if at is None:
+            mean = F.array(*[F.lit(float(m)) for m in column_means(plain)])
+            far = plain.withColumn("d", squared_distance(F.col("features"), mean))
+            first = far.agg(F.max_by(F.struct("pos", "features"), F.struct("d", -F.col("pos"))).alias("b")).first().b
+        else:
+            first = with_position(plain, "pos", name="place").where(F.col("place") == at).first()
+        out.append((0, first.pos, None))
+        state = plain.withColumn("least", F.lit(float("inf")))
+        picks, gone = np.array([first.features], float), [first.pos]
+    else:
+        held = seed if not isinstance(seed, np.ndarray) else spark.createDataFrame([(v.tolist(),) for v in seed], "features array<double>")
+        state = min_squared_distance(plain, held).withColumnRenamed("d2", "least")
+        picks, gone = np.zeros((0, 0)), []
+    done = len(out) >= k
+    while not done:
+        state = checkpointed(_nearer(state, picks, gone))
+        top = state.orderBy(F.desc("least"), "pos").limit(FETCHED).collect()
+        if not top:
             break
-        out.append((len(out), best.pos, None if cold and not out else float(best.least)))
-        d = squared_distance(F.col("features"), F.array(*[F.lit(float(v)) for v in best.features]))
-        rest = d if cold and len(out) == 1 else F.least("least", d)
-        state = state.withColumn("least", F.when((F.col("pos") != best.pos) & F.col("least").isNotNull(), rest))
-        if len(out) % PASSES == 0:
-            state = checkpointed(state)
-    return spark.createDataFrame(out, "rank long, pos long, score double")
+        pos, least = np.array([r.pos for r in top]), np.array([r.least for r in top])
+        x = np.array([r.features for r in top], float)
+        last = (least[-1], pos[-1]) if len(top) == FETCHED else (-1.0, 0)
+        open_, picks, gone = np.ones(len(top), bool), [], []
+        while True:
+            if not open_.any():
+                break
+            tied = np.flatnonzero(open_ & (least == least[open_].max()))
+            at = int(tied[pos[tied].argmin()])
+            if least[at] < last[0] or (least[at] == last[0] and pos[at] > last[1]):
+                break  # a row that wasn't fetched may be farther, or come first
+            if out and ((min_dist2 is not None and least[at] < min_dist2) or (not allow_zero and least[at] <= 0)):
+                done = True
+                break
+            out.append((len(out), int(pos[at]), float(least[at])))
+            picks.append(x[at])
+            gone.append(int(pos[at]))
+            open_[at] = False
+            if len(out) >= k:
+                done = True
+                break
+            np.minimum(least, squared_distances(x, x[at]), out=least)
+        picks = np.array(picks, float)
+    return spark.createDataFrame(out, schema)

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 from . import clusters
 from .checkpoints import checkpointed
 from .fps import as_matrix, fps
+from .ordering import sample
 
 RESULT = "rank long, pos long, pick_stage string, cluster long, score double, center_d2 double"
 
 
-def select_diverse(cand: DataFrame, n_select: int, seed: DataFrame | None = None, *, method: str = "kmeans", min_dist2: float | None = None, init: str = "farthest_from_mean", k: int | None = None, per_cluster: int = 1, second_pick: str = "farthest", fill: str = "fps", trim: str = "population", rounds: int = 20, random_state: int = 0) -> DataFrame:
+def select_diverse(cand: DataFrame, n_select: int, seed: DataFrame | None = None, *, method: str = "kmeans", min_dist2: float | None = None, init: str = "farthest_from_mean", k: int | None = None, per_cluster: int = 1, second_pick: str = "farthest", fill: str = "fps", trim: str = "population", rounds: int = 300, random_state: int = 0, n_init: int = 10, minibatch_threshold: int = 20_000) -> DataFrame:
     """(rank, pos, pick_stage, cluster, score, center_d2) of at most n_select rows of cand (pos, features).
 
     Rows whose pos is a seed's are never candidates. For k-means ``score`` is the coverage profile of the chosen set by
     rank (not a property of the row), as downstream curves expect; ``center_d2`` is the row's own. A score without a
-    predecessor is null, a cluster of -1 says that the row topped the clusters up.
+    predecessor is null, a cluster of -1 says that the row topped the clusters up. k-means starts from the farthest points
+    and from ``n_init`` - 1 random sets of rows, three starts in all beyond ``minibatch_threshold`` rows; the best fit counts.
     """
     spark = cand.sparkSession
     if seed is not None and "pos" in seed.columns:
@@ -36,8 +38,10 @@ def select_diverse(cand: DataFrame, n_select: int, seed: DataFrame | None = None
     if seed is not None:
         both = both.unionByName(seed.select((-F.monotonically_increasing_id() - 1).alias("pos"), "features", F.lit(True).alias("is_seed")))
     both = checkpointed(both)
-    start = fps(both, k, allow_zero=True).join(both, "pos").orderBy("rank").select("features").collect()  # k rows
-    _, assigned = clusters.lloyd(both, as_matrix([r.features for r in start]), rounds)
+    starts = [fps(both, k, allow_zero=True).join(both, "pos").orderBy("rank").select("features")]
+    many = n_init if n + (0 if seed is None else seed.count()) <= minibatch_threshold else min(n_init, 3)
+    starts += [sample(both, k, F.col("pos"), random_state + i).orderBy("pos").select("features") for i in range(1, many)]
+    _, assigned = clusters.lloyd(both, [as_matrix([r.features for r in s.collect()]) for s in starts], rounds)  # k rows each
     assigned = checkpointed(assigned)
     reps = checkpointed(clusters.representatives(clusters.uncovered(assigned), per_cluster, second_pick))
     count = reps.count()
@@ -60,11 +64,15 @@ def select_diverse(cand: DataFrame, n_select: int, seed: DataFrame | None = None
     return ranked.join(profile, "rank", "left").select("rank", "pos", "pick_stage", "cluster", "score", "center_d2")
 
 
-def shortfall(found: int, n_select: int, *, fill: str = "fps", min_dist2: float | None = None) -> str | None:
-    """Why a selection is short, if it is."""
+def shortfall(found: int, n_select: int, n_candidates: int, *, fill: str = "fps", method: str = "fps", min_dist2: float | None = None) -> str | None:
+    """Why a selection is short, if it is: no candidate was left, clusters weren't topped up, or those left were too near."""
     if found >= n_select:
         return None
-    return "strict_no_fill" if fill == "none" else "min_dist_stop" if min_dist2 is not None else "exhausted"
+    if found >= n_candidates:
+        return "exhausted"
+    if method == "kmeans" and fill == "none":
+        return "strict_no_fill"
+    return "min_dist_stop" if min_dist2 is not None else "exhausted"
 
 
 def finite_range(scores) -> tuple[float, float]:

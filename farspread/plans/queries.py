@@ -270,11 +270,28 @@ def kmeans_topup(spark, sf_dir):
     return six(fps(a.join(reps.select("pos"), "pos", "left_anti"), 5, reps))
 
 
-@query()
+_LLOYD = f"""{_mean('b')}, c AS (SELECT pos, b.f, list_distance(b.f, m.f) ** 2 AS d0 FROM b, m), {_fps('c', 'd0', N_SELECT)},
+km AS (SELECT 0 AS t, list(f ORDER BY rank) AS centres FROM s WHERE pick
+    UNION ALL SELECT t + 1, list(v ORDER BY k) FROM (SELECT t, k, list(v ORDER BY i) AS v FROM (SELECT t, k, i, avg(f[i]) AS v FROM (
+        SELECT t, f, unnest(range(1, len(f) + 1)) AS i, list_position(list_transform(centres, lambda x: list_distance(f, x)), list_min(list_transform(centres, lambda x: list_distance(f, x)))) AS k FROM km, b WHERE t < {{rounds}}) GROUP BY t, k, i) GROUP BY t, k) GROUP BY t),
+lk AS (SELECT pos, f, list_transform(centres, lambda x: list_distance(f, x) ** 2) AS ds FROM km, b WHERE t = {{rounds}}),
+la AS (SELECT pos, f, list_position(ds, list_min(ds)) - 1 AS cluster, list_min(ds) AS center_d2 FROM lk)"""
+
+
+@query(f"WITH RECURSIVE {_E}, {_LLOYD.format(rounds=60)}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY center_d2, pos) AS near FROM la) SELECT row_number() OVER (ORDER BY cluster) - 1 AS rank, pos AS vec_id, 'kmeans' AS pick_stage, cluster::BIGINT AS cluster, round(center_d2, 6) AS center_d2 FROM r WHERE near = 1")
 def kmeans_select(spark, sf_dir):
+    """k-means from the farthest points, the start that SQL can follow; Lloyd's rounds go on until no centre moves."""
     c = candidates(spark, sf_dir).select("pos", "features")
-    out = select_diverse(c, N_SELECT, method="kmeans")
-    return out.select("rank", F.col("pos").alias("vec_id"), "pick_stage", "cluster", r6("score").alias("score"), r6("center_d2").alias("center_d2"))
+    out = select_diverse(c, N_SELECT, method="kmeans", n_init=1)
+    return out.select("rank", F.col("pos").alias("vec_id"), "pick_stage", "cluster", r6("center_d2").alias("center_d2"))
+
+
+@query(f"WITH {_E}, p AS (SELECT *, (row_number() OVER (ORDER BY pos) - 1) // {STREAM.batch_size} AS batch, row_number() OVER (ORDER BY pos) - 1 AS place FROM b), sz AS (SELECT count(*) AS n, (count(*) + {STREAM.batch_size - 1}) // {STREAM.batch_size} AS k, least({STREAM.pool_alpha * N_SELECT}, count(*)) AS target FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY md5('0:' || place), place) AS rn FROM p) SELECT r.pos AS vec_id, r.batch, row_number() OVER (ORDER BY r.batch, r.place) - 1 AS rank FROM r, sz WHERE rn <= greatest(1, (target * (batch + 1)) // k - (target * batch) // k)")
+def pool_stage_random(spark, sf_dir):
+    """The pool of random picks, a quota of each batch, in the order of their places."""
+    c = numbered_candidates(spark, sf_dir)
+    picked = pooled_fps(c, N_SELECT, Stream(batch_size=STREAM.batch_size, pool_alpha=STREAM.pool_alpha, pool_stage="random"), final=False)
+    return picked.join(c.select("pos", "vec_id"), "pos").select("rank", "vec_id", "batch")
 
 
 # ------------------------------------------------------------------ lookup and status
@@ -366,7 +383,7 @@ def sampled(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_E}, {_SAMPLE} SELECT count(*) AS n_pairs, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, round(min(d), 6) AS min, round(max(d), 6) AS max, round(stddev_pop(d) / avg(d), 6) AS rel_spread, stddev_pop(d) / avg(d) < 0.1 AS concentrated FROM pr")
 def distance_stats(spark, sf_dir):
-    out = nearest.distance_stats(nearest.pair_distances(sampled(spark, sf_dir)))
+    out = nearest.distance_stats(sampled(spark, sf_dir))
     return out.select("n_pairs", *[r6(c).alias(c) for c in ("mean", "std", "min", "max", "rel_spread")], "concentrated")
 
 
@@ -385,13 +402,18 @@ def spearman_rho(spark, sf_dir):
     return diagnostics.spearman(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey").select(r6("rho").alias("rho"))
 
 
-@query(f"WITH {_E}, {_mean('b')} SELECT round(sum(list_distance(b.f, m.f) ** 2) / count(*), 5) AS trace, 1.0::DOUBLE AS share FROM b, m")
+@query(f"""WITH RECURSIVE {_E}, {_mean('b')}, z AS (SELECT list_transform(range(1, len(b.f) + 1), lambda i: b.f[i] - m.f[i]) AS z FROM b, m),
+u AS (SELECT z, unnest(range(1, len(z) + 1)) AS i FROM z), o AS (SELECT i, unnest(range(1, len(z) + 1)) AS j, z[i] AS x, z FROM u),
+cv AS (SELECT i, j, avg(x * z[j]) AS x FROM o GROUP BY i, j), cr AS (SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(x ORDER BY j) AS r FROM cv GROUP BY i)),
+it AS (SELECT 0 AS t, list_transform(range(1, len(c) + 1), lambda i: 1.0 / i) AS v FROM cr
+    UNION ALL SELECT t + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT t, list_transform(c, lambda r: list_dot_product(r, v)) AS w FROM it, cr WHERE t < 3000))
+SELECT round((SELECT sum(x) FROM cv WHERE i = j), 5) AS trace, round(list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) / (SELECT sum(x) FROM cv WHERE i = j), 5) AS share FROM it, cr WHERE t = 3000""")
 def pca_scree(spark, sf_dir):
-    """The trace of the covariance, and the sum of the components' shares of variance."""
+    """The trace of the covariance, and the first component's share of it (in SQL by power iteration)."""
     c = candidates(spark, sf_dir)
     cov = diagnostics.covariance(c)
-    _, ratio = diagnostics.pca(c, 2)
-    return spark.createDataFrame([(round(float(cov.trace()), 5), round(float(ratio.sum()), 6))], "trace double, share double")
+    _, ratio = diagnostics.pca(c, 1)
+    return spark.createDataFrame([(round(float(cov.trace()), 5), round(float(ratio[0]), 5))], "trace double, share double")
 
 
 @query(f"""WITH {_E}, {_SAMPLE}, two AS (SELECT i, j, d, sqrt((fx[1] - fy[1]) ** 2 + (fx[2] - fy[2]) ** 2) AS e FROM pr), bo AS (SELECT i, j, d, e FROM two UNION ALL SELECT j, i, d, e FROM two),
@@ -400,8 +422,7 @@ SELECT round(1 - 2.0 * sum(greatest(r - 12, 0)) / (any_value(n.n) * 12 * (2 * an
 def trustworthiness_12(spark, sf_dir):
     """Of the first two dimensions as an embedding."""
     s = sampled(spark, sf_dir)
-    flat = s.withColumn("features", F.slice("features", 1, 2))
-    return diagnostics.trustworthiness(nearest.pair_distances(s), nearest.pair_distances(flat), 12).select(r6("trust").alias("trust"))
+    return diagnostics.trustworthiness(s.withColumn("coords", F.slice("features", 1, 2)), 12).select(r6("trust").alias("trust"))
 
 
 # ------------------------------------------------------------------ species

@@ -11,19 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.config import Box, Sampling, Selection, Stream
-from ..functions.errors import DescriptorMismatchError, FeatureTableError, SpeciesError
+from ..functions.errors import DescriptorMismatchError, FeatureTableError, SpeciesError, VacuumTooSmallError
 from ..functions.identity import cache_key, descriptor_id, require_compatible
 from ..functions.provenance import provenance_key
 from ..functions.species import SYMBOLS, hill_formula, unsupported
 from ..functions.vectors import l2_normalize
-from ..operators.box import with_cells
+from ..operators.box import needs_cell, with_cells
 from ..operators.checkpoints import checkpointed
 from ..operators.describe import basename_collisions, check_coverage, lookup, numbered, select_group, status
 from ..operators.featurizers import Featurizer
 from ..operators.ordering import shuffle_key, stride, with_position
 from ..operators.select import finite_range, select_diverse, shortfall
-from ..sources import files, gather, xyz
-from ..streaming.pool import pooled_fps
+from ..sources import files, gather
+from ..sources.frames import first_frame, load, with_file_facts
+from ..streaming.pool import select_streamed
 
 log = logging.getLogger(__name__)
 
@@ -31,10 +32,9 @@ log = logging.getLogger(__name__)
 def scan(spark: SparkSession, patterns: list[str], sampling: Sampling | None = None) -> DataFrame:
     """Frames of all files with pos, their place in processing order: enumerated, thinned, cut, then shuffled."""
     sampling = sampling or Sampling(shuffle=False)
-    spark.dataSource.register(xyz.ExtXyzSource)
     paths = files.expand_patterns(patterns)
     order = spark.createDataFrame(list(enumerate(paths)), "file_id int, source_file string")
-    frames = spark.read.format("extxyz").option("paths", ",".join(paths)).load().join(F.broadcast(order), "source_file")
+    frames = load(spark, paths).join(F.broadcast(order), "source_file")
     kept = stride(with_position(frames, "file_id", "frame_index"), sampling.stride)
     if sampling.max_frames is not None:
         kept = kept.where(F.col("pos") < sampling.max_frames * sampling.stride)
@@ -42,11 +42,27 @@ def scan(spark: SparkSession, patterns: list[str], sampling: Sampling | None = N
     return with_position(kept.drop("pos"), *([shuffle_key(sampling.seed, key)] if sampling.shuffle else []), "file_id", "frame_index")
 
 
+def probe_boxes(patterns: list[str], box: Box, cutoff: float | None, on_small_vacuum: str = "error") -> None:
+    """Fails before a run if the vacuum is too small and a file's first frame needs a cell; later frames are checked one by one."""
+    if cutoff is None or box.vacuum_is_sufficient(cutoff):
+        return
+    short = f"twice the vacuum ({2 * box.vacuum:g}) is less than the cutoff ({cutoff:g})"
+    if on_small_vacuum == "skip":
+        log.warning("%s; structures that need a cell will be skipped as small_vacuum", short)
+        return
+    if box.mode == "box":
+        raise VacuumTooSmallError(f"every structure gets a cell, but {short}")
+    for path in files.expand_patterns(patterns):
+        frame = first_frame(path)
+        if frame is not None and needs_cell(frame[2], frame[3], box):
+            raise VacuumTooSmallError(f"the first frame of {path} needs a cell, but {short}")
+
+
 def features_of(spark: SparkSession, path: str, group: str | None = None) -> tuple[DataFrame, DataFrame | None, dict]:
     """(key, valid, features), the records that a store skipped with their status, and the identity of the vectors."""
-    if files.resolve(path) == "table":
-        table = select_group(files.read_numpy_table(spark, path), group)
-        return table.select("key", "valid", "features"), None, {"featurizer": "table", "source": os.path.basename(path)}
+    if (kind := files.resolve(path)) != "store":
+        table = select_group(files.read_table(spark, path) if kind == "table" else files.read_numpy_table(spark, path), group)
+        return table.select("key", "valid", "features"), None, {"featurizer": "table", "source": os.path.basename(path), **files.table_identity(spark, path)}
     rows, skipped, meta = files.read_store(spark, path)
     key = provenance_key(F.col("source_file"), F.col("frame_index")).alias("key")
     return rows.select(key, F.lit(True).alias("valid"), "features"), skipped.select(key, F.col("status").alias("inherited")), {"descriptor_id": meta["descriptor_id"]}
@@ -84,7 +100,7 @@ def describe(frames: DataFrame, *, featurizer: Featurizer | None = None, table:
 
 
 def seed_vectors(spark: SparkSession, paths: list[str], identity: dict, featurizer: Featurizer, box: Box, normalize: str, cache: str | None = None) -> DataFrame:
-    """(features) of earlier selections, described as this run is. Files stamped by another descriptor are refused, unstamped ones trusted.
+    """(features, source_file) of earlier selections, described as this run is. Files stamped by another descriptor are refused, unstamped ones trusted.
 
     With a cache folder a file's vectors are kept as Parquet under its identity, path, size and time.
     """
@@ -107,7 +123,7 @@ def seed_vectors(spark: SparkSession, paths: list[str], identity: dict, featuriz
             vectors = spark.read.parquet(kept)
         else:
             rows = describe(frames, featurizer=featurizer, box=box, normalize=normalize, on_unknown="skip").where("row is not null")
-            vectors = rows.select("features")
+            vectors = rows.select("features", F.lit(path).alias("source_file"))
             if kept and rows.count():
                 vectors.write.mode("overwrite").parquet(kept)
         out = vectors if out is None else out.unionByName(vectors)
@@ -117,9 +133,12 @@ def seed_vectors(spark: SparkSession, paths: list[str], identity: dict, featuriz
 def run(spark: SparkSession, patterns: list[str], out: str, *, selection: Selection | None = None, featurizer: Featurizer | None = None, features: str | None = None, group: str | None = None, sampling: Sampling | None = None, box: Box | None = None, stream: Stream | None = None, seeds: list[str] | None = None, cache: str | None = None, normalize: str = "l2", save_features: str | None = None, on_invalid: str = "error", on_unknown: str = "error", on_small_vacuum: str = "error") -> dict:
     """Describes the frames into out/frames.parquet and, given a selection, writes out/selected.parquet, selected.extxyz and the manifest, which is returned.
 
-    ``stream`` bounds what a farthest-point selection holds at a time; without it, and for k-means, a selection is exact.
+    ``stream`` bounds what a selection holds at a time, by either method; without it, and with precomputed vectors, a
+    selection is exact.
     """
     sampling, box = sampling or Sampling(), box or Box()
+    if featurizer is not None and features is None:
+        probe_boxes(patterns, box, featurizer.cutoff, on_small_vacuum)
     frames = checkpointed(scan(spark, patterns, sampling))
     table = skipped = None
     if features is not None:
@@ -133,9 +152,10 @@ def run(spark: SparkSession, patterns: list[str], out: str, *, selection: Select
     first = good.select(F.size("features").alias("d")).first()
     files.write_store(described, out, own_id, first.d if first else 0)
     if save_features:
-        files.export_table(described, save_features)
+        files.export_table(described, save_features, {**identity, "descriptor_id": own_id})
     counts = {r.status: r["count"] for r in described.groupBy("status").count().collect()}
-    parts = {"descriptor": {**identity, "descriptor_id": own_id}, "box": asdict(box), "inputs": [r.asDict() for r in files.source_summary(frames).orderBy("source_file").collect()], "sampling": asdict(sampling), "status": counts}
+    modes = {str(r.cell_mode): r["count"] for r in described.groupBy("cell_mode").count().collect()}
+    parts = {"descriptor": {**identity, "descriptor_id": own_id}, "box": asdict(box), "inputs": [r.asDict() for r in with_file_facts(files.source_summary(frames)).orderBy("source_file").collect()], "sampling": asdict(sampling), "status": counts, "cell_modes": modes}
     record = files.manifest(spark, **parts)
     if selection is not None:
         cand = good.select(F.col("row").alias("pos"), "features")
@@ -145,15 +165,17 @@ def run(spark: SparkSession, patterns: list[str], out: str, *, selection: Select
                 raise FeatureTableError("seeds are described by a featurizer; precomputed vectors don't hold them")
             seed = seed_vectors(spark, seeds, identity, featurizer, box, normalize, cache)
         s = selection
-        if stream is not None and s.method == "fps" and features is None:
-            picked = pooled_fps(cand, s.n_select, stream, seed).select("rank", "pos", F.lit("fps").alias("pick_stage"), F.lit(-1).cast("long").alias("cluster"), "score", F.lit(None).cast("double").alias("center_d2"))
+        seed = None if seed is None else checkpointed(seed)
+        if stream is not None and features is None:
+            picked = select_streamed(cand, s, stream, None if seed is None else seed.select("features"))
         else:
-            picked = select_diverse(cand, s.n_select, seed, method=s.method, min_dist2=s.min_dist2, init=s.fps_init, k=s.k, per_cluster=s.per_cluster, second_pick=s.second_pick, fill=s.fill, trim=s.trim, random_state=s.random_state)
+            picked = select_diverse(cand, s.n_select, None if seed is None else seed.select("features"), **s.options())
         chosen = checkpointed(picked.withColumnRenamed("pos", "row").join(good.select("row", "source_file", "frame_index", "natoms", "formula"), "row"))
         chosen.select("rank", "row", "source_file", "frame_index", "natoms", "formula", "pick_stage", "cluster", "score", "center_d2").orderBy("rank").write.mode("overwrite").parquet(f"{out}/selected.parquet")
+        per_file = {} if seed is None else {r.source_file: r["count"] for r in seed.groupBy("source_file").count().collect()}
         stamps = {"descriptor_id": own_id, "run_id": record["run"]["run_id"], "extra_info": {"spread_descriptor_fields": json.dumps(identity)}}
         n = gather.gather(chosen, frames.drop("pos", "file_id"), f"{out}/selected.extxyz", **stamps)
         low, high = finite_range([r.score for r in chosen.select("score").collect()])  # n_select rows
-        record |= {"selection": asdict(s), "seed_set": {"files": list(seeds or ()), "rows": seed.count() if seed is not None else 0}, "results": {"n_selected": n, "shortfall_reason": shortfall(n, s.n_select, fill=s.fill, min_dist2=s.min_dist2), "score_min": low, "score_max": high}}
+        record |= {"selection": asdict(s), "seed_set": {"files": list(seeds or ()), "rows": sum(per_file.values()), "rows_per_file": per_file}, "results": {"n_selected": n, "shortfall_reason": shortfall(n, s.n_select, cand.count(), fill=s.fill, method=s.method, min_dist2=s.min_dist2), "score_min": low, "score_max": high}}
     files.write_manifest(f"{out}/run_manifest.json", record)
     return record

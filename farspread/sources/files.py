@@ -6,18 +6,23 @@ import glob
 import hashlib
 import json
 import os
+import logging
 import platform
 import uuid
+import zipfile
 from datetime import UTC, datetime
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.errors import FeatureTableError, ScanError
+from ..operators.checkpoints import shared_folder
 
-#: Rows that the interchange reader and writer of numpy files hold on the driver.
-NUMPY_ROWS = 5_000_000
+log = logging.getLogger(__name__)
+#: Rows of a numpy file that the driver holds at a time.
+NUMPY_STEP = 50_000
 
 
 def expand_patterns(patterns: list[str]) -> list[str]:
@@ -53,42 +58,94 @@ def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, di
     return frames.where(F.col("row").isNotNull()), frames.where(F.col("row").isNull()).select("source_file", "frame_index", "status"), spark.read.json(f"{path}/store.json").first().asDict()
 
 
-def export_table(frames: DataFrame, path: str) -> DataFrame:
-    """The interchange columns of described rows, by row."""
-    out = frames.where("row is not null").select("row", F.lit(True).alias("valid"), F.regexp_extract("source_file", r"([^/]*)$", 1).alias("source_file"), "frame_index", "features").orderBy("row")
-    out.write.mode("overwrite").parquet(path)
+def export_table(frames: DataFrame, path: str, identity: dict | None = None) -> DataFrame:
+    """The interchange columns of described rows, by row, and the vectors' identity beside them, as read_table reads them."""
+    key = F.concat(F.regexp_extract("source_file", r"([^/]*)$", 1), F.lit(":"), F.col("frame_index").cast("string"))
+    out = frames.where("row is not null").select("row", key.alias("structure_id"), F.lit(True).alias("valid"), F.regexp_extract("source_file", r"([^/]*)$", 1).alias("source_file"), "frame_index", "features").orderBy("row")
+    out.write.mode("overwrite").parquet(f"{path}/table.parquet")
+    frames.sparkSession.createDataFrame([(json.dumps(identity or {}),)], "identity string").coalesce(1).write.mode("overwrite").json(f"{path}/metadata.json")
     return out
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """(key, group_label, valid, features) of an exported table."""
+    rows = spark.read.parquet(f"{path}/table.parquet")
+    key = F.concat(F.regexp_extract("source_file", r"([^/]*)$", 1), F.lit(":"), F.col("frame_index").cast("long").cast("string"))
+    group = F.col("group_label") if "group_label" in rows.columns else F.lit(None)
+    return rows.select(key.alias("key"), group.cast("string").alias("group_label"), "valid", F.col("features").cast("array<double>").alias("features"))
+
+
+def table_identity(spark: SparkSession, path: str) -> dict:
+    """What the metadata beside a table says of its vectors; empty, with a warning, where there is none."""
+    if os.path.isdir(f"{path}/metadata.json"):
+        return json.loads(spark.read.json(f"{path}/metadata.json").first().identity)
+    beside = f"{path.removesuffix('.npz')}.metadata.json"
+    if os.path.exists(beside):
+        with open(beside) as f:
+            return json.load(f)
+    log.warning("%s has no metadata; what made its vectors isn't known", path)
+    return {}
+
+
+def _array_chunks(path: str, name: str):
+    """(first row, rows) of an array of an npz file, some rows at a time, without reading it whole."""
+    with zipfile.ZipFile(path) as z, z.open(f"{name}.npy") as f:
+        version = np.lib.format.read_magic(f)
+        shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+        if fortran and len(shape) > 1:
+            raise FeatureTableError(f"{path}: {name} must be stored row by row")
+        width = int(np.prod(shape[1:])) * kind.itemsize
+        for at in range(0, shape[0], NUMPY_STEP):
+            n = min(NUMPY_STEP, shape[0] - at)
+            yield at, np.frombuffer(f.read(n * width), kind).reshape((n, *shape[1:]))
+
+
 def read_numpy_table(spark: SparkSession, prefix: str) -> DataFrame:
-    """(key, group_label, valid, features) of <prefix>.npz with <prefix>.index.csv."""
+    """(key, group_label, valid, features) of <prefix>.npz with <prefix>.index.csv.
+
+    The vectors go to a table in the shared folder, NUMPY_STEP rows at a time, and are joined with the index by row.
+    """
     prefix = prefix.removesuffix(".npz")
     index_path = f"{prefix}.index.csv"
     if not os.path.exists(index_path):
         raise FeatureTableError(f"{index_path} is missing")
-    data = np.load(f"{prefix}.npz")
-    x = np.asarray(data["features"], np.float32)
-    valid = np.asarray(data["valid"], bool) if "valid" in data else np.ones(len(x), bool)
+    with np.load(f"{prefix}.npz") as data:
+        marked = "valid" in data.files
+    shared = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    n, flags = 0, _array_chunks(f"{prefix}.npz", "valid") if marked else None
+    for at, x in _array_chunks(f"{prefix}.npz", "features"):
+        if x.ndim != 2:
+            raise FeatureTableError(f"{prefix}.npz: features must be two-dimensional")
+        valid = next(flags)[1].astype(bool) if flags else np.ones(len(x), bool)
+        part = pa.table({"row": np.arange(at, at + len(x)), "valid": valid, "features": pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), x.shape[1]).cast(pa.list_(pa.float32()))})
+        spark.createDataFrame(part).write.mode("append").parquet(shared)
+        n += len(x)
     index = spark.read.csv(index_path, header=True, ignoreLeadingWhiteSpace=True)
-    rows = index.toPandas() if index.count() <= NUMPY_ROWS else None
-    if rows is None or len(rows) != len(x):
-        raise FeatureTableError(f"{index_path} has another number of rows than the {len(x)} vectors")
-    if {"source_file", "frame_index"} <= {*rows.columns}:
-        key = [f"{os.path.basename(str(s))}:{int(i)}" for s, i in zip(rows["source_file"], rows["frame_index"], strict=True)]
-    elif "structure_id" in rows.columns:
-        key = [f"{os.path.basename(s.rpartition(':')[0])}:{int(s.rpartition(':')[2])}" for s in rows["structure_id"].astype(str)]
+    if (rows := index.count()) != n:
+        raise FeatureTableError(f"{index_path} has {rows} rows for {n} vectors")
+    base = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
+    if {"source_file", "frame_index"} <= {*index.columns}:
+        key = F.concat(base(F.col("source_file")), F.lit(":"), F.col("frame_index").cast("long").cast("string"))
+    elif "structure_id" in index.columns:
+        key = F.concat(base(F.regexp_extract("structure_id", "^(.*):([^:]*)$", 1)), F.lit(":"), F.regexp_extract("structure_id", "^(.*):([^:]*)$", 2).cast("long").cast("string"))
     else:
         raise FeatureTableError(f"{index_path} has neither source_file and frame_index nor structure_id")
-    group = list(rows["group_label"]) if "group_label" in rows.columns else [None] * len(rows)
-    return spark.createDataFrame([(k, g, bool(v), [float(f) for f in r]) for k, g, v, r in zip(key, group, valid, x, strict=True)], "key string, group_label string, valid boolean, features array<double>")
+    if "row" not in index.columns:
+        raise FeatureTableError(f"{index_path} has no column row")
+    group = F.col("group_label") if "group_label" in index.columns else F.lit(None)
+    index = index.select(F.col("row").cast("long").alias("row"), key.alias("key"), group.cast("string").alias("group_label"))
+    vectors = spark.read.parquet(shared) if n else spark.createDataFrame([], "row long, valid boolean, features array<float>")
+    return index.join(vectors, "row").select("key", "group_label", "valid", F.col("features").cast("array<double>").alias("features"))
 
 
 def resolve(path: str) -> str:
-    """What a features path is: 'store' or 'table'."""
-    if os.path.isdir(path) and os.path.isdir(os.path.join(path, "frames.parquet")):
+    """What a features path is: 'store', 'table' (Parquet) or 'numpy'."""
+    if os.path.isdir(os.path.join(path, "frames.parquet")):
         return "store"
-    if path.endswith(".npz") or os.path.exists(f"{path}.npz"):
+    if os.path.isdir(os.path.join(path, "table.parquet")):
         return "table"
+    if path.endswith(".npz") or os.path.exists(f"{path}.npz"):
+        return "numpy"
     raise FeatureTableError(f"{path} is neither a descriptor store nor a feature table")
 
 

@@ -43,6 +43,141 @@ def test_edge_cases():
         as_matrix([[float("nan")]])
 
 
+def frame(spark, x, first=0, step=1):
+    return spark.createDataFrame([(first + step * i, [float(v) for v in r]) for i, r in enumerate(x)], "pos long, features array<double>")
+
+
+def order(picks):
+    return [(r.pos, r.score) for r in picks.orderBy("rank").collect()]
+
+
+def test_picks_do_not_depend_on_the_strategy(spark, monkeypatch):
+    from farspread.operators import fps as module
+
+    monkeypatch.setattr(module, "FETCHED", 7)
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 5, (50, 2)).astype(float)  # many ties and equal rows
+    df, seed = frame(spark, x, 3, 10), frame(spark, rng.integers(0, 5, (4, 2)))
+    for options in ({"init": "index:7"}, {"init": "index:-1"}, {"init": "random", "random_state": 5}, {}, {"min_dist2": 3.0}, {"allow_zero": True}, {"seed": seed}, {"seed": seed, "min_dist2": 2.0}):
+        one = order(fps(df, 40, **options))
+        assert one == order(fps(df.repartition(3), 40, budget=0, **options)), options
+    assert order(fps(df, 1, init="index:7"))[0][0] == 73
+    assert fps(df.limit(0), 3, budget=0).count() == 0 and fps(df, 0, budget=0).count() == 0
+
+
+def test_bad_features_are_refused(spark):
+    for bad in ([[0.0, 1.0], [float("nan"), 1.0]], [[0.0, 1.0], [1.0]], [[0.0, float("inf")]]):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(bad)], "pos long, features array<double>")
+        for budget in (0, 1 << 20):
+            with pytest.raises(ValueError):
+                fps(df, 1, budget=budget)
+    with pytest.raises(ValueError):
+        fps(frame(spark, [[0.0, 1.0]]), 1, frame(spark, [[1.0]]))
+
+
+def test_pools(spark):
+    from farspread.functions.config import Selection, Stream
+    from farspread.streaming.pool import pooled, pooled_fps, select_streamed
+
+    x = np.random.default_rng(2).normal(size=(60, 3))
+    df = frame(spark, x)
+    exact = order(fps(df, 5))
+    assert order(pooled_fps(df, 5, Stream(batch_size=0))) == exact == order(pooled_fps(df, 5, Stream(batch_size=60)))
+    by = {kind: pooled(df, 5, Stream(batch_size=25, pool_alpha=3, pool_stage=kind)) for kind in ("fps", "random")}
+    for pool, log in by.values():
+        assert [b for _, _, b in log] == [0] * 5 + [1] * 5 + [2] * 5 and len(pool.pos) == 15
+    random = [p for p, _, _ in by["random"][1]]
+    assert random != [p for p, _, _ in by["fps"][1]] and all(random[i : i + 5] == sorted(random[i : i + 5]) for i in (0, 5, 10))
+    small, _ = pooled(df, 5, Stream(batch_size=25, pool_alpha=3, pool_cap=6))
+    assert len(small.pos) == 6 and small.evictions == 2
+    few = order(pooled_fps(df, 15, Stream(batch_size=25, pool_alpha=1), min_dist2=4.0))
+    assert 0 < len(few) < 15 and all(s is None or s >= 4 for _, s in few)
+    for method in ("kmeans", "fps"):
+        got = select_streamed(df, Selection(5, method=method, n_init=2), Stream(batch_size=25, pool_alpha=3)).collect()
+        assert sorted(r["rank"] for r in got) == [0, 1, 2, 3, 4] and {r.pos for r in got} <= {*by["fps"][0].pos.tolist()}
+
+
+def test_k_means_against_numpy(spark):
+    from farspread.operators.clusters import lloyd
+
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(c, 0.7, (40, 2)) for c in ((0, 0), (5, 0), (0, 5))])
+    starts = [x[rng.permutation(120)[:3]] for _ in range(4)]
+
+    def by_hand(c):
+        for _ in range(300):
+            k = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            new = np.array([x[k == i].mean(0) if (k == i).any() else c[i] for i in range(3)])
+            if ((new - c) ** 2).sum(1).max() <= 1e-12:
+                break
+            c = new
+        return new, ((x[:, None] - new[None]) ** 2).sum(2).min(1).sum()
+
+    want = min((by_hand(s) for s in starts), key=lambda r: r[1])
+    centres, assigned = lloyd(frame(spark, x).repartition(3), starts)
+    assert np.allclose(centres, want[0]) and abs(sum(r.center_d2 for r in assigned.collect()) - want[1]) < 1e-6
+
+
+def test_diagnostics(spark):
+    from farspread.operators import diagnostics, nearest
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 5))
+    df = frame(spark, x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))[np.triu_indices(40, 1)]
+    r = nearest.distance_stats(df.repartition(3)).first()
+    assert r.n_pairs == 780 and np.allclose((r["mean"], r["std"], r["min"], r["max"], r.rel_spread), (d.mean(), d.std(), d.min(), d.max(), d.std() / d.mean()))
+    assert nearest.distance_stats(df.limit(0)).first().n_pairs == 0
+    assert np.allclose(nearest.column_means(df), x.mean(0)) and np.allclose(diagnostics.covariance(df.repartition(3)), np.cov(x.T, bias=True))
+    projected, ratio = diagnostics.pca(df, 2)
+    centred = x - x.mean(0)
+    u, s, _ = np.linalg.svd(centred, full_matrices=False)
+    got = np.array([row.coords for row in projected.orderBy("pos").collect()])
+    assert np.allclose(np.abs(got), np.abs((u * s)[:, :2])) and np.allclose(ratio, s**2 / (s**2).sum())
+    f = diagnostics.faithfulness(x, x)
+    assert f["n_points"] == 40 and abs(f["spearman"] - 1) < 1e-12 and f["trustworthiness"] == 1
+    trust = diagnostics.faithfulness(x, x[:, :2])["trustworthiness"]
+    flat = spark.createDataFrame([(i, v.tolist(), v[:2].tolist()) for i, v in enumerate(x)], "pos long, features array<double>, coords array<double>")
+    assert abs(diagnostics.trustworthiness(flat.repartition(3), 12).first().trust - trust) < 1e-12 and trust < 1
+    mds, _ = diagnostics.classical_mds(x, 5)
+    assert np.allclose(np.sort(np.sqrt(((mds[:, None] - mds[None]) ** 2).sum(2)), None), np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), None), atol=1e-6)
+    stress = lambda y: ((np.sqrt(((y[:, None] - y[None]) ** 2).sum(2)) - np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))) ** 2).sum()
+    assert stress(diagnostics.smacof(x, 2)) <= stress(mds[:, :2])
+    two = np.vstack([rng.normal(0, 0.1, (15, 4)), rng.normal(6, 0.1, (15, 4))])
+    y = diagnostics.tsne(two)
+    near = np.argsort(((y[:, None] - y[None]) ** 2).sum(2), axis=1)[:, 1:4]
+    assert ((near < 15) == (np.arange(30) < 15)[:, None]).all()
+    panels = diagnostics.figure_data(df, order_of(spark, df)).groupBy("panel", "series").count().collect()
+    assert {(p.panel, p.series): p["count"] for p in panels} == {("distances", "count"): 60, ("scree", "share"): 5, ("scree", "running"): 5, ("coverage", "chosen"): 5, ("cdf", "chosen"): 35, ("cdf", "random"): 35}
+
+
+def order_of(spark, df):
+    return fps(df, 6).select("pos", "rank")
+
+
+def test_ranks_take_no_single_task(spark):
+    from farspread.operators import diagnostics
+
+    rng = np.random.default_rng(9)
+    data = [(int(a), float(b)) for a, b in zip(rng.integers(0, 20, 200), rng.normal(size=200).round(1))]
+    df = spark.createDataFrame([*data, (None, 1.0)], "a long, b double").repartition(5)
+
+    def ranks(v):
+        return np.array([sum(w < x for w in v) + (sum(w == x for w in v) + 1) / 2 for x in v])
+
+    want = np.corrcoef(ranks([a for a, _ in data]), ranks([b for _, b in data]))[0, 1]
+    assert abs(diagnostics.spearman(df, "a", "b").first().rho - want) < 1e-12
+    got = {r.value: r.share for r in diagnostics.cumulative(df, "a").collect()}
+    assert all(abs(got[v] - sum(a <= v for a, _ in data) / 200) < 1e-12 for v in got) and len(got) == len({a for a, _ in data})
+
+
+def test_reasons_of_short_selections():
+    from farspread.operators.select import shortfall
+
+    assert shortfall(5, 5, 9) is None and shortfall(3, 5, 3, min_dist2=1.0) == "exhausted" and shortfall(3, 5, 9, min_dist2=1.0) == "min_dist_stop"
+    assert shortfall(3, 5, 9, fill="none", method="kmeans") == "strict_no_fill" and shortfall(3, 5, 9) == "exhausted"
+
+
 def test_strategies_agree(spark):
     x = np.random.default_rng(1).normal(size=(40, 3))
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "pos long, features array<double>")
