@@ -9,7 +9,6 @@ encoded text show in how evenly they use their bytes, at every length.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, record_batch
+from .common import byte_slices, record_batch, released, slices
+from .shingles import mix, word_hashes
 
 #: Bytes of the text from which on a band holds, its lowest and its highest ratio: about halfway from random letters and
 #: digits to clean prose, and from clean prose to prose with 30 % of its words in one repeated sentence, at sf0.1.
@@ -29,31 +29,46 @@ BANDS = (
 CHUNK = (2048, 1.65, 2.42, 0.34)
 #: Greatest byte entropy over that of an even use of the same bytes; prose has up to 0.90, encoded text 0.94 and more.
 EVENNESS = 0.92
+_FACTORS = mix(np.arange(301, 304, dtype=np.uint64)) | np.uint64(1)
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
 
 
-def base_counts(text: str) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    words = WORD.findall(text)
-    chars = len(text) - sum(text.count(c) for c in _SPACES)
-    lines, repeated_lines = set(), 0
-    if "\n" in text:
-        for line in text.split("\n"):
-            if line in lines:
-                repeated_lines += 1
-            elif line.strip(_SPACES):
-                lines.add(line)
-    repeated = 0
-    windows = list(zip(words, words[1:], words[2:]))
-    counts = Counter(windows)
-    if len(counts) < len(windows):
-        reach = 0  # the words before this place are counted
-        for i, w in enumerate(windows):
-            if counts[w] > 1:
-                repeated += i + 3 - max(i, reach)
-                reach = i + 3
-    return len(words), chars, sum(text.count(c) for c in _SYMBOLS), repeated_lines, repeated
+def _repeated_words(texts: list[str]) -> tuple[list[int], list[int]]:
+    """Of each text its words, and those of them in three-word windows (by 64-bit hash) that it has more than once."""
+    h, first = word_hashes(texts, lower=False)
+    n = np.diff(first)
+    text = np.repeat(np.arange(len(texts)), n)
+    marks = np.zeros(len(h) + 1, np.int64)
+    if len(h) > 2:
+        window = mix(h[:-2] * _FACTORS[0] + h[1:-1] * _FACTORS[1] + h[2:] * _FACTORS[2])
+        at = np.flatnonzero(text[:-2] == text[2:])
+        order = np.lexsort((window[at], text[at]))
+        at = at[order]
+        same = (window[at][1:] == window[at][:-1]) & (text[at][1:] == text[at][:-1])
+        twice = np.zeros(len(at), bool)
+        twice[1:] = same
+        twice[:-1] |= same
+        np.add.at(marks, at[twice], 1)
+        np.add.at(marks, at[twice] + 3, -1)
+    covered = np.cumsum(marks)[:-1] > 0
+    return n.tolist(), np.bincount(text[covered], minlength=len(texts)).tolist()
+
+
+def base_counts(texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+    """Of each text n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    out = []
+    for text, words, repeated in zip(texts, *_repeated_words(texts), strict=True):
+        lines, repeated_lines = set(), 0
+        if "\n" in text:
+            for line in text.split("\n"):
+                if line in lines:
+                    repeated_lines += 1
+                elif line.strip(_SPACES):
+                    lines.add(line)
+        chars = len(text) - sum(text.count(c) for c in _SPACES)
+        out.append((words, chars, sum(text.count(c) for c in _SYMBOLS), repeated_lines, repeated))
+    return out
 
 
 def compression(text: str, pack: zstandard.ZstdCompressor, size: int) -> tuple[int, float, list[float]]:
@@ -83,11 +98,11 @@ def _judge(bands, chunk, most_even: float, level: int, least_words: int, most_re
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=level)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = text or ""
-                n, chars, symbols, lines, repeated = base_counts(text)
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            counts = [c for i, j in byte_slices(texts) for c in base_counts(texts[i:j])]
+            for doc_id, text, (n, chars, symbols, lines, repeated) in zip(ids, texts, counts, strict=True):
                 failed = n < least_words or 100 * repeated > most_repeated * n
                 length, ratio, chunks = compression(text, pack, size)
                 _, least, most = bands[bisect_right(edges, length) - 1]
@@ -109,7 +124,8 @@ def compression_rules(docs: DataFrame, *, bands=BANDS, chunk=CHUNK, most_even: f
 
     * A null or empty text has no word: zeros, base_failed, not kept.
     * A null id is kept as null; rows that repeat an id are judged one by one.
+    * A text of any length is judged as a whole; about 60 bytes a word and its distinct lines are held at once.
     * Other columns of docs are not read, whatever their names. An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(_judge(bands, chunk, most_even, level, least_words, most_repeated), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_chunks_outside long")
+    return base.mapInArrow(released(_judge(bands, chunk, most_even, level, least_words, most_repeated)), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_chunks_outside long")
