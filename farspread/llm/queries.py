@@ -9,6 +9,9 @@ from . import compression_rules, jaccard_join, language_id, mixing, packing, rul
 from .common import documents, fold
 
 DAY = 86_400_000_000
+#: The URL that a seventh of the pages share, and other spellings of parts of URLs.
+HOT_URL = "http://Hot.example.com/list?b=2&a=1"
+SPELT = {"/en/": "/./%65n/", "/de/": "/x/../%64e/", "/fr/": "/%66r/", "b=2&a=1": "a=1&b=%32"}
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,18 +39,32 @@ def op3_ipf_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures made from every page: a full response, and two later revisits, one in nine of which saw another version."""
+    """Captures made from every page: a full response, for a third of the pages a later one, and two revisits, one in nine of
+    which saw another version. A seventh of the pages share one URL, where many responses have the same time. The second
+    revisit spells its URL in another way."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.md5(F.col("html").cast("binary")).alias("digest"))
-    at = F.pmod(F.col("page_id") * 7919, F.lit(365)) * F.lit(DAY) + F.pmod(F.col("page_id") * 104729, F.lit(86400)) * 1_000_000
-    date = F.concat(F.lit("day "), F.pmod(F.col("page_id") * 7919, F.lit(365)).cast("string"))
-    tag = F.concat(F.lit('"'), F.col("digest"), F.lit('"'))
-    response = pages.select((F.col("page_id") * 3).alias("record_id"), "url", at.alias("ts"), F.lit("response").alias("kind"), F.create_map(F.lit("ETag"), tag, F.lit("Last-Modified"), date, F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), date).alias("headers"))
-    first = pages.select(
-        (F.col("page_id") * 3 + 1).alias("record_id"), "url", (at + 3 * DAY).alias("ts"), F.lit("revisit").alias("kind"),
-        F.create_map(F.lit("etag"), F.when(F.pmod(F.col("page_id"), F.lit(9)) == 4, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag)), F.lit("Date"), F.concat(date, F.lit(" + 3")), F.lit("Content-Length"), F.lit("0")).alias("headers"),
-    )
-    second = pages.select((F.col("page_id") * 3 + 2).alias("record_id"), "url", (at - DAY + F.pmod(F.col("page_id"), F.lit(5)) * DAY).alias("ts"), F.lit("revisit").alias("kind"), F.create_map(F.lit("last-modified"), date, F.lit("Expires"), F.lit("never")).alias("headers"))
-    return response.unionByName(first).unionByName(second)
+    hot = F.pmod(F.col("page_id"), F.lit(7)) == 0
+    pages = pages.withColumn("url", F.when(hot, F.lit(HOT_URL)).otherwise(F.col("url")))
+    day = F.pmod(F.col("page_id") * 7919, F.lit(365))
+    at = day * F.lit(DAY) + F.when(hot, F.pmod(F.col("page_id"), F.lit(24)) * (DAY // 24)).otherwise(F.pmod(F.col("page_id") * 104729, F.lit(86400)) * 1_000_000)
+    date = F.concat(F.lit("day "), day.cast("string"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+
+    def record(number, url, ts, kind, **headers):
+        named = F.create_map(*[x for k, v in headers.items() for x in (F.lit(k.replace("_", "-")), v)])
+        return pages.select((F.col("page_id") * 4 + number).alias("record_id"), url.alias("url"), ts.alias("ts"), F.lit(kind).alias("kind"), named.alias("headers"), "page_id")
+
+    own, text = F.col("url"), F.lit("text/html")
+    response = record(0, own, at, "response", ETag=quoted(F.col("digest")), Last_Modified=date, Content_Type=text, Date=date)
+    later = F.concat(date, F.lit(" + 2"))
+    second = record(3, own, at + 2 * DAY, "response", ETag=quoted(F.concat("digest", F.lit("-2"))), Last_Modified=later, Content_Type=text, Date=later).where(F.col("page_id") % 3 == 0)
+    tag = F.when(F.pmod(F.col("page_id"), F.lit(9)) == 4, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), quoted(F.col("digest"))))
+    first_check = record(1, own, at + 3 * DAY, "revisit", etag=tag, Date=F.concat(date, F.lit(" + 3")), Content_Length=F.lit("0"))
+    spelt = own
+    for plain, other in SPELT.items():
+        spelt = F.replace(spelt, F.lit(plain), F.lit(other))
+    next_check = record(2, spelt, at - DAY + F.pmod(F.col("page_id"), F.lit(5)) * DAY, "revisit", last_modified=date, Expires=F.lit("never"))
+    return response.unionByName(second).unionByName(first_check).unionByName(next_check).drop("page_id")
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,15 +74,20 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record_id", "url", "ts", F.coalesce("response_id", none).alias("response_id"), F.coalesce("response_ts", none).alias("response_ts"), "verdict", F.when(F.col("headers").isNotNull(), text).alias("headers"))
 
 
-_CANONICAL = r"""regexp_replace(lower(regexp_replace(regexp_extract(u, '^([^/?]*)', 1), '^[^@]*@', '')), ':(80|443)$', '')"""
+_HOST = r"""regexp_replace(lower(regexp_replace(regexp_extract(u, '^([^/?]*)', 1), '^[^@]*@', '')), ':(80|443)$', '')"""
+_QUERY = r"""array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '')), '&')"""
+_SPELT = "url"
+for _plain, _other in SPELT.items():
+    _SPELT = f"replace({_SPELT}, '{_plain}', '{_other}')"
 OP4_SQL = rf"""
-WITH pages_at AS (SELECT page_id, url, md5(html) AS digest, (page_id * 7919) % 365 AS day, ((page_id * 7919) % 365) * {DAY} + ((page_id * 104729) % 86400) * 1000000 AS seen,
-    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^https?://', '', 'i') AS u FROM pages),
-keyed AS (SELECT *, regexp_replace({_CANONICAL}, '^(www\d?|m)\.', '') AS host, regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '^[^/?]*', ''), '([?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\1', 'g'), '([?&])&+', '\1', 'g'), '[?&]+$', '') AS rest FROM pages_at),
-c AS (SELECT *, host || regexp_replace(rest, '/+$', '') AS key, '"' || digest || '"' AS tag, 'day ' || day AS date FROM keyed),
-resp AS (SELECT page_id * 3 AS record_id, key, seen AS ts, digest, date FROM c),
-rev AS (SELECT page_id * 3 + 1 AS record_id, url, key, seen + 3 * {DAY} AS ts, CASE WHEN page_id % 9 = 4 THEN 'other' ELSE digest END AS etag, CASE WHEN page_id % 9 = 4 THEN '"other"' ELSE 'W/' || tag END AS raw, NULL AS modified, date FROM c
-    UNION ALL SELECT page_id * 3 + 2, url, key, seen - {DAY} + (page_id % 5) * {DAY}, NULL, NULL, date, date FROM c),
+WITH p AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '{HOT_URL}' ELSE url END AS url, md5(html) AS digest, (page_id * 7919) % 365 AS day,
+    ((page_id * 7919) % 365) * {DAY} + CASE WHEN page_id % 7 = 0 THEN (page_id % 24) * {DAY // 24} ELSE ((page_id * 104729) % 86400) * 1000000 END AS seen FROM pages),
+pages_at AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^https?://', '', 'i') AS u FROM p),
+keyed AS (SELECT *, {_HOST} AS host, regexp_replace(regexp_extract(regexp_replace(u, '^[^/?]*', ''), '^([^?]*)', 1), '/+$', '') AS path, {_QUERY} AS asked FROM pages_at),
+c AS (SELECT *, host || path || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END AS key, 'day ' || day AS date FROM keyed),
+resp AS (SELECT page_id * 4 AS record_id, key, seen AS ts, digest, date FROM c UNION ALL SELECT page_id * 4 + 3, key, seen + 2 * {DAY}, digest || '-2', date || ' + 2' FROM c WHERE page_id % 3 = 0),
+rev AS (SELECT page_id * 4 + 1 AS record_id, url, key, seen + 3 * {DAY} AS ts, CASE WHEN page_id % 9 = 4 THEN 'other' ELSE digest END AS etag, CASE WHEN page_id % 9 = 4 THEN '"other"' ELSE 'W/"' || digest || '"' END AS raw, NULL AS modified, date FROM c
+    UNION ALL SELECT page_id * 4 + 2, {_SPELT}, key, seen - {DAY} + (page_id % 5) * {DAY}, NULL, NULL, date, date FROM c),
 found AS (SELECT v.record_id, max(struct_pack(ts := r.ts, id := r.record_id, digest := r.digest, date := r.date)) AS r FROM rev v JOIN resp r ON v.key = r.key AND r.ts < v.ts GROUP BY v.record_id),
 j AS (SELECT v.*, f.r, CASE WHEN f.r IS NULL THEN 'orphan' WHEN v.etag IS NOT NULL THEN CASE WHEN v.etag = f.r.digest THEN 'matched' ELSE 'mismatch' END WHEN v.modified = f.r.date THEN 'matched' ELSE 'mismatch' END AS verdict FROM rev v LEFT JOIN found f USING (record_id))
 SELECT record_id, url, ts, coalesce(r.id, -1) AS response_id, coalesce(r.ts, -1) AS response_ts, verdict,

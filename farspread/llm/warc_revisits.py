@@ -12,21 +12,47 @@ from pyspark.sql import functions as F
 
 # Header fields that a 304 response carries or may update (RFC 9110, 15.4.5; RFC 9111, 3.2).
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "warning")
-#: Query parameters that say where a visitor came from, not what is asked for.
-TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
 HOUR = 3_600_000_000
+# Codes of the characters that need no escape in a URL (RFC 3986, 2.3): - . _ ~, digits and letters.
+_UNRESERVED = "^(2D|2E|5F|7E|3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A])$"
 
 
-def canonical_url(url: Column) -> Column:
-    """The URL without scheme, user, default port, fragment, tracking parameters, www or m prefix and last slash, its host in lower case."""
+def _plain_escapes(part: Column) -> Column:
+    """Escapes of characters that need none become those, others get upper-case digits."""
+    code = lambda x: F.upper(F.substring(x, 1, 2))
+    known = lambda x: x.rlike("^[0-9A-Fa-f]{2}")
+    char = lambda x: F.when(code(x).rlike(_UNRESERVED), F.decode(F.unhex(code(x)), "UTF-8")).otherwise(F.concat(F.lit("%"), code(x)))
+    fixed = lambda x, i: F.when(i == 0, x).when(known(x), F.concat(char(x), x.substr(F.lit(3), F.length(x)))).otherwise(F.concat(F.lit("%"), x))
+    return F.array_join(F.transform(F.split(part, "%", -1), fixed), "")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without . and .. segments."""
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(x)))
+    segments = F.split(path, "/", -1)
+    return F.array_join(F.aggregate(F.slice(segments, 2, F.size(segments)), F.slice(segments, 1, 1), step), "/")
+
+
+def canonical_url(url: Column, *, host_prefix: str | None = None, dropped: str | None = None) -> Column:
+    """The URL without scheme, user, default port, fragment and last slash, its host in lower case, escapes and dot segments
+    resolved and query parameters sorted.
+
+    ``host_prefix`` (such as ``(www\\d?|m)\\.``) and ``dropped`` (names of parameters such as ``utm_[a-z]+|fbclid``) are
+    patterns of what shall go besides; without them hosts and parameters that differ are different resources.
+    """
     u = F.regexp_replace(F.trim(url), "#.*$", "")
     u = F.regexp_replace(u, "(?i)^https?://", "")
     host = F.lower(F.regexp_replace(F.regexp_extract(u, r"^([^/?]*)", 1), r"^[^@]*@", ""))
-    host = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^(www\d?|m)\.", "")
+    host = F.regexp_replace(host, r":(80|443)$", "")
+    if host_prefix:
+        host = F.regexp_replace(host, f"^({host_prefix})", "")
     rest = F.regexp_replace(u, r"^[^/?]*", "")
-    query = F.regexp_replace(rest, rf"([?&]){TRACKING}=[^&]*", "$1")
-    query = F.regexp_replace(F.regexp_replace(query, r"([?&])&+", "$1"), r"[?&]+$", "")
-    return F.concat(host, F.regexp_replace(query, r"/+$", ""))
+    path = F.regexp_replace(_without_dots(_plain_escapes(F.regexp_extract(rest, r"^([^?]*)", 1))), "/+$", "")
+    given = F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&", -1), lambda x: x != "")
+    if dropped:
+        given = F.filter(given, lambda x: ~x.rlike(f"^({dropped})(=|$)"))
+    asked = F.array_join(F.array_sort(F.transform(given, _plain_escapes)), "&")
+    return F.concat(host, path, F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(F.lit("")))
 
 
 def weak_tag(tag: Column) -> Column:
@@ -41,7 +67,7 @@ def _lower_keys(headers: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def resolve_revisits(records: DataFrame, *, permitted: tuple[str, ...] = PERMITTED, span: int = HOUR) -> DataFrame:
+def resolve_revisits(records: DataFrame, *, permitted: tuple[str, ...] = PERMITTED, span: int = HOUR, host_prefix: str | None = None, dropped: str | None = None) -> DataFrame:
     """One row per revisit of records: record_id, url, ts, response_id, response_ts, verdict, headers.
 
     records: record_id long, url string, ts long (microseconds), kind string ('response' or 'revisit'), headers
@@ -49,18 +75,18 @@ def resolve_revisits(records: DataFrame, *, permitted: tuple[str, ...] = PERMITT
     Last-Modified dates; 'unverified' where neither can be compared; 'mismatch' where they differ; 'orphan' without an
     earlier response. A mismatch keeps the response's id but its headers stay unmerged (null), as for an orphan.
 
-    Captures of a URL are dealt by spans of time: the last response of a span is found first, the last before a span
+    ``host_prefix`` and ``dropped`` are those of canonical_url. Captures of a URL are dealt by spans of time: the last response of a span is found first, the last before a span
     from these, so that no task gets a URL's whole history.
 
     * Responses at the same time as the revisit aren't earlier. Of responses at one time the largest id counts.
     * A null url or ts leaves a revisit an orphan; such a response is never found. Records of other kinds are dropped.
-    * Null headers count as none. Rows that repeat a record are all returned. Other columns are not read. Empty in, empty out.
+    * Headers and URLs of any length are taken whole. Null headers count as none. Rows that repeat a record are all returned. Other columns are not read. Empty in, empty out.
     """
     rows = records.select(
         F.col("record_id").cast("long").alias("record_id"), F.col("url").cast("string").alias("url"), F.col("ts").cast("long").alias("ts"), F.col("kind").alias("kind"),
         _lower_keys(F.coalesce(F.col("headers"), F.expr("map()").cast("map<string,string>"))).alias("headers"),
     ).where("kind in ('response', 'revisit')")
-    rows = rows.withColumn("key", canonical_url(F.col("url"))).withColumn("span", F.floor(F.col("ts") / span))
+    rows = rows.withColumn("key", canonical_url(F.col("url"), host_prefix=host_prefix, dropped=dropped)).withColumn("span", F.floor(F.col("ts") / span))
     response = F.struct("ts", "record_id", "headers")
     is_response = (F.col("kind") == "response") & F.col("key").isNotNull() & F.col("ts").isNotNull()
     # The last response of each span, and from these the last before it; a URL has one row per span that it has captures in.
