@@ -7,18 +7,23 @@ n-grams of how far their ranks in the two profiles lie apart, the profile's size
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, record_batch, runs
+from .common import checkpointed, record_batch, released, runs, slices
 
 PROFILE = 400
 #: n-grams that a task holds before it adds equal ones up.
 HELD = 4_000_000
 #: Profiles that may be sent to all tasks: so many languages of PROFILE n-grams each.
 LANGUAGES = 1000
+#: Characters of a text whose n-grams are counted at once.
+SEGMENT = 1_000_000
+_GAP = re.compile(r"\s")
 _letters: list[np.ndarray] = []
 
 
@@ -28,8 +33,28 @@ def letter_table() -> np.ndarray:
     return _letters[0]
 
 
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by n-gram."""
+    grams, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(grams, kind="stable")
+    start, _ = runs(grams[order])
+    return grams[order][start], np.add.reduceat(counts[order], start) if len(start) else counts
+
+
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 1- to 3-grams as whole numbers, 21 bits a character, and their counts."""
+    """Distinct 1- to 3-grams as whole numbers, 21 bits a character, and their counts.
+
+    A long text is taken by parts that end at a white space: no n-gram goes over one.
+    """
+    parts, start = [], 0
+    while len(text) - start > SEGMENT and (gap := _GAP.search(text, start + SEGMENT)):
+        parts.append(_ngrams(text[start : gap.start()]))
+        start = gap.start()
+    last = _ngrams(text[start:] if start else text)
+    return added([*parts, last]) if parts else last
+
+
+def _ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     codes = np.where(letter_table()[codes], codes, 32)
     codes = np.concatenate(([32], codes, [32]))
@@ -58,13 +83,7 @@ def _count(batches):
     held: dict[str, list] = {}
     size = 0
 
-    def added(parts):
-        grams, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(grams, kind="stable")
-        start, _ = runs(grams[order])
-        return grams[order][start], np.add.reduceat(counts[order], start) if len(start) else counts
-
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held.setdefault(lang, []).append(ngrams(text))
             size += len(held[lang][-1][0])
@@ -83,7 +102,7 @@ def _count(batches):
 def fit_profiles(docs: DataFrame, *, size: int = PROFILE, lang_col: str = "lang", text_col: str = "text") -> dict[str, list[int]]:
     """Of each language its most frequent n-grams, counted over all rows with a text and a language."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(released(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = checkpointed(counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size))
     languages = top.select("lang").distinct().limit(LANGUAGES + 1).count()
@@ -104,7 +123,7 @@ def _predict(profiles: dict[str, list[int]], size: int):
             grams = np.array(profiles[lang], np.int64)
             order = np.argsort(grams)
             tables.append((lang, grams[order], order))
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = ranked(*ngrams(text), size) if text else np.zeros(0, np.int64)
@@ -129,8 +148,9 @@ def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], *, size:
     """(doc_id, lang_pred, score) of every row of docs; score is 1 less the distance over the largest possible one.
 
     * A null text, or one without a letter, is ``und`` with score 0; so is any text when there is no profile.
+    * A text of any length is read as a whole, by parts of about SEGMENT characters.
     * Equal distances go to the language that sorts first. A null id is kept as null, repeated rows are all returned.
     * Other columns of docs are not read, whatever their names. An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(_predict(profiles, size), "doc_id long, lang_pred string, score double")
+    return base.mapInArrow(released(_predict(profiles, size)), "doc_id long, lang_pred string, score double")
