@@ -187,9 +187,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_
     marked = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.min("_y").alias("_y"))
     marked = marked.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    found = with_features(base.join(F.broadcast(marked), "_id")).drop("text")  # at most `sample` rows
+    found = with_features(base.join(F.broadcast(marked), "_id")).drop("text")
     names = list(features({k: F.lit(0.0) for k in statistics(F.lit(""))}))
-    rows = {r._id: r for r in sorted(found.select("_id", "_y", *[f"_f_{f}" for f in names]).collect())}
+    one = F.min(F.struct("_y", *[f"_f_{f}" for f in names])).alias("r")  # of rows that repeat an id
+    rows = {r._id: r for r in found.groupBy("_id").agg(one).select("_id", "r.*").orderBy("_id").collect()}  # at most `sample` rows
     x = np.array([[r[f"_f_{f}"] for f in names] for r in rows.values()], float).reshape(len(rows), len(names))
     return fit_rules(x, np.array([r._y for r in rows.values()], float), names, **options)
 
@@ -197,7 +198,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_
 def score_quality(docs: DataFrame, rules: Rules, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with the score (0 to 1) of every row; a null text scores as an empty one.
 
-    All columns are kept, one named like ``score_col`` is replaced. An empty table gives an empty result.
+    All columns are kept, one named like ``score_col`` is replaced. A null id or one that repeats makes no difference. A text
+    of any length is scored as a whole, in the JVM. An empty table gives an empty result.
     """
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     scored = with_features(held, "_text").withColumn("_score", rules.score())

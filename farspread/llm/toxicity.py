@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, checkpointed, record_batch
+from .common import ASCII_LOWER, checkpointed, record_batch, released, slices
 from .common import WORD as _WORD
 
 #: Confirmed and unlabelled texts that a fit takes at most: those with the smallest hashes of their ids.
@@ -85,14 +85,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, prior: float | None = No
     prior = min(max(prior, 1e-3), 0.5)
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     toxic = marked.where("_y = 1").orderBy(F.xxhash64("_id"), "_id").limit(positives).select("_id")
-    p = base.join(F.broadcast(toxic), "_id").select("text")  # at most `positives` ids
+    one = lambda ids: base.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("text").alias("text")).select("text")  # noqa: E731  of rows that repeat an id
+    p = one(toxic)  # at most `positives` rows
     others = base.select("_id").where("_id is not null").orderBy(F.xxhash64(F.lit("u"), "_id"), "_id").limit(unlabelled).distinct()
-    u = base.join(F.broadcast(others), "_id").select("text")  # at most `unlabelled` ids
+    u = one(others)  # at most `unlabelled` rows
 
     schema = pa.schema([("words", pa.list_(pa.string()))])
 
     def split(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield record_batch(schema, [sorted(words_of(t)) for t in batch.column(0).to_pylist()])
 
     p, u = (checkpointed(df.mapInArrow(split, "words array<string>")) for df in (p, u))
@@ -119,7 +120,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, prior: float | None = No
 def score_toxicity(docs: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row of docs, score from 0 to 1.
 
-    A null or empty text has no word and scores as the bias alone. A null id is kept as null, repeated rows are all
+    A null or empty text has no word and scores as the bias alone; of a long one the distinct words are held at once. A null id is kept as null, repeated rows are all
     returned. Other columns of docs are not read, whatever their names. An empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -127,9 +128,9 @@ def score_toxicity(docs: DataFrame, weights: dict[str, float], *, id_col: str =
     bias = weights[""]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             z = [bias + sum(known[w] for w in sorted(words_of(t) & known.keys())) for t in batch.column(1).to_pylist()]
             yield record_batch(schema, batch.column(0), 1 / (1 + np.exp(-np.clip(np.array(z, float), -50, 50))))
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, score double")
+    return base.mapInArrow(released(run), "doc_id long, score double")
