@@ -280,7 +280,7 @@ def test_mixing_meets_targets(spark):
 
 def test_rules_and_models(spark, docs, empty):
     assert {r.doc_id: r.kept for r in compression_rules.compression_rules(docs).collect()}[4] is False
-    assert compression_rules.base_counts("a b c a b c\nx\nx") == (8, 8, 0, 1, 6)
+    assert compression_rules.base_counts(["a b c a b c\nx\nx", ""]) == [(8, 8, 0, 1, 6), (0, 0, 0, 0, 0)]
     assert compression_rules.compression_rules(empty).count() == 0
     profiles = language_id.fit_profiles(docs.where("lang is not null"))
     got = {r.doc_id: r.lang_pred for r in language_id.predict_languages(docs, profiles).collect()}
@@ -393,10 +393,43 @@ def test_search_whole_queries(spark):
         assert all(abs(h[2] + s[0]) < 2e-6 for h, s in zip(sorted(got), sorted(scores)))
 
 
+RECORD = "record_id long, url string, ts long, kind string, headers map<string,string>"
+
+
+def headers(**k):
+    return {a.replace("_", "-"): v for a, v in k.items()}
+
+
 def test_revisits(spark):
-    m = lambda **k: {a.replace("_", "-"): v for a, v in k.items()}
+    m = headers
     records = [(1, "http://www.A.com/x#f", 10, "response", m(ETag='"v1"', Content_Type="t")), (2, "https://a.com/x/", 20, "revisit", m(etag='W/"v1"', Date="d", Content_Length="0")),
                (3, "a.com/x?utm_source=z", 10, "revisit", None), (4, "a.com/x", 30, "revisit", m(etag='"v2"')), (5, None, 5, "revisit", None), (6, "a.com/x", 7_200_000_000, "revisit", None)]
-    got = {r.record_id: r for r in warc_revisits.resolve_revisits(spark.createDataFrame(records, "record_id long, url string, ts long, kind string, headers map<string,string>")).collect()}
+    df = spark.createDataFrame(records, RECORD)
+    got = {r.record_id: r for r in warc_revisits.resolve_revisits(df, host_prefix=r"www\.", dropped="utm_[a-z]+").collect()}
     assert {k: r.verdict for k, r in got.items()} == {2: "matched", 3: "orphan", 4: "mismatch", 5: "orphan", 6: "unverified"}
     assert got[2].headers == {"etag": 'W/"v1"', "content-type": "t", "date": "d"} and got[6].response_id == 1
+    assert {r.verdict for r in warc_revisits.resolve_revisits(df).collect()} == {"orphan"}  # www.a.com is another host
+    assert warc_revisits.resolve_revisits(spark.createDataFrame([], RECORD)).count() == 0
+
+
+def test_canonical_urls(spark):
+    same = [("HTTPS://u:p@A.com:443/a/./b/../%7euser/?z=1&y=%2f#x", "a.com/a/~user?y=%2F&z=1"), ("a.com", "a.com"), ("http://a.com/", "a.com"), ("a.com/..//b%", "a.com//b%"), (" http://a.com?b&&a ", "a.com?a&b"), ("m.a.com/x?ref=1", "m.a.com/x?ref=1"), ("", ""), (None, None)]
+    df = spark.createDataFrame([(u, w) for u, w in same], "u string, w string")
+    assert [r for r in df.select("u", "w", warc_revisits.canonical_url(F.col("u")).alias("got")).collect() if r.got != r.w] == []
+
+
+def test_revisits_of_a_url_with_many_responses(spark):
+    import random
+
+    rng = random.Random(13)
+    records = [(i, "http://a.com/hot" if i % 3 else f"http://b.com/{i % 7}", rng.randint(0, 40) * 1_800_000_000, "response" if i % 2 else "revisit", headers(etag=f'"{i % 4}"')) for i in range(400)]
+    records += [records[1], records[2], (900, "http://a.com/hot", None, "response", None), (901, "http://a.com/hot", None, "revisit", None), (902, "http://a.com/hot", 5, "other", None)]
+    got = collections.Counter((r.record_id, r.response_id, r.response_ts) for r in warc_revisits.resolve_revisits(spark.createDataFrame(records, RECORD).repartition(3)).collect())
+    want = collections.Counter()
+    for i, url, ts, kind, _ in records:
+        if kind == "revisit":
+            earlier = [(t, j) for j, u, t, k, _ in records if k == "response" and u == url and t is not None and ts is not None and t < ts]
+            best = max(earlier, default=(None, None))
+            want[(i, best[1], best[0])] += 1
+    assert got == want
+    assert max(collections.Counter((u, t) for _, u, t, k, _ in records if k == "response").values()) > 2  # there are ties
