@@ -41,13 +41,13 @@ COUNTED = 4_000_000
 HOT_LIST, MOST_BLOCKS = 20_000, 64
 CLASS_BLOCK = 2_000_000
 _SALTS = [np.uint64(0x632BE59BD9B4E019 * (2 * k + 1) % (1 << 64)) for k in range(ORDERS)]
-_SLOT_SHIFT = np.uint64(64 - SKETCH_BITS)
 #: Eighth powers of two that a count is told by, in the table.
 _STEPS = 8
 
 
-def _slots(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> _SLOT_SHIFT).astype(np.int64)
+def _slots(tokens: np.ndarray, size: int) -> np.ndarray:
+    """The slots of tokens in a table whose size is a power of two."""
+    return (tokens >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
@@ -55,9 +55,6 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, 1 + np.floor(_STEPS * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
-_HOT_LEVEL = int(_level(np.array([HOT_LIST]))[0])
-
-
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
     d = xxhash.xxh3_128_intdigest(tokens.tobytes())
     return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
@@ -79,9 +76,9 @@ def _prefix(tokens: np.ndarray, seen: np.ndarray, order: int, p: int) -> np.ndar
     return tokens
 
 
-def _blocks(levels: np.ndarray) -> np.ndarray:
+def _blocks(levels: np.ndarray, hot_list: int) -> np.ndarray:
     """Blocks that the lists of hot tokens with these levels are dealt out in."""
-    return np.clip(np.ceil(2.0 ** ((levels.astype(float) - 1) / _STEPS) / HOT_LIST), 2, MOST_BLOCKS).astype(np.int64)
+    return np.clip(np.ceil(2.0 ** ((levels.astype(float) - 1) / _STEPS) / hot_list), 2, MOST_BLOCKS).astype(np.int64)
 
 
 def _histogram(tokens: np.ndarray, per: int) -> np.ndarray:
@@ -96,7 +93,7 @@ def _histogram(tokens: np.ndarray, per: int) -> np.ndarray:
         m *= 2
 
 
-def _survey(n: int, parts: int):
+def _survey(n: int, parts: int, counted: int):
     """Sizes and digests of the documents, and for each part of the tokens those that this task has seen more than once."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("part", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
 
@@ -121,7 +118,7 @@ def _survey(n: int, parts: int):
             yield record_batch(schema, batch.column(0), [len(s) for s in sets], [x[0] for x in d], [x[1] for x in d], none, none, none)
             held += sets
             size += sum(map(len, sets))
-            if size > COUNTED:
+            if size > counted:
                 yield from common(held)
                 held, size = [], 0
         if size:
@@ -163,29 +160,29 @@ def _most_common(limit: int):
     return run
 
 
-def _table(surveyed: DataFrame, parts: int) -> np.ndarray:
+def _table(surveyed: DataFrame, parts: int, bits: int, known: int) -> np.ndarray:
     """The level of every slot: that of the most frequent known token there, 0 where none is known."""
-    rows = surveyed.where("part is not null").select("part", "tokens", "counts").repartition(parts, "part").mapInArrow(released(_most_common(max(1, KNOWN // parts))), "tokens binary, levels binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in rows:  # at most KNOWN tokens of 9 bytes
-        np.maximum.at(out, _slots(np.frombuffer(bytes(r.tokens), np.uint64)), np.frombuffer(bytes(r.levels), np.uint8))
+    rows = surveyed.where("part is not null").select("part", "tokens", "counts").repartition(parts, "part").mapInArrow(released(_most_common(max(1, known // parts))), "tokens binary, levels binary").collect()
+    out = np.zeros(1 << bits, np.uint8)
+    for r in rows:  # at most `known` tokens of 9 bytes
+        np.maximum.at(out, _slots(np.frombuffer(bytes(r.tokens), np.uint64), len(out)), np.frombuffer(bytes(r.levels), np.uint8))
     return out
 
 
-def _postings(n: int, t: Fraction, per: int, sketch):
+def _postings(n: int, t: Fraction, per: int, sketch, hot_list: int):
     schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("hist", pa.binary())])
 
     def dealt(tokens, levels, d):
         """Instead of a hot token, one key for each pair of blocks that the node's block is in."""
         out = []
-        for token, k in zip(tokens, _blocks(levels).tolist(), strict=True):
+        for token, k in zip(tokens, _blocks(levels, hot_list).tolist(), strict=True):
             other = np.arange(k, dtype=np.uint64)
             own = np.uint64(d % k)
             out.append(mix(token ^ mix(np.minimum(other, own) * np.uint64(MOST_BLOCKS) + np.maximum(other, own) + np.uint64(1))))
         return np.concatenate(out)
 
     def run(batches):
-        counts = sketch.value
+        counts, hot_level = sketch.value, _level(np.array([hot_list]))[0]
         for batch in slices(batches):
             token, node, size, hist = [], [], [], []
             known: set[int] = set()
@@ -193,10 +190,10 @@ def _postings(n: int, t: Fraction, per: int, sketch):
                 if not len(s) or (d := _digest(s)[0]) in known:
                     continue
                 known.add(d)
-                seen = counts[_slots(s)]
+                seen = counts[_slots(s, len(counts))]
                 p = _prefix(s, seen, 0, _prefix_size(len(s), t))
-                levels = counts[_slots(p)]
-                hot = levels >= _HOT_LEVEL
+                levels = counts[_slots(p, len(counts))]
+                hot = levels >= hot_level
                 if hot.any():
                     p = np.concatenate((p[~hot], dealt(p[hot], levels[hot], d)))
                 h = _histogram(s, per).tobytes()
@@ -330,7 +327,7 @@ def _verify(n: int, t: Fraction, sketch):
         blocks = np.array([k[2] for k in kept], np.int64)
         sizes = np.array([len(k[3]) for k in kept], np.int64)
         counts = sketch.value
-        lists = [[k[3] for k in kept]] + [[_prefix(k[3], counts[_slots(k[3])], o, _prefix_size(len(k[3]), t)) for k in kept] for o in range(ORDERS)]
+        lists = [[k[3] for k in kept]] + [[_prefix(k[3], counts[_slots(k[3], len(counts))], o, _prefix_size(len(k[3]), t)) for k in kept] for o in range(ORDERS)]
 
         def index(sets):
             own = np.array([len(s) for s in sets], np.int64)
@@ -396,35 +393,40 @@ def _verify(n: int, t: Fraction, sketch):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, n: int = 5, threshold: str | float = "0.8", id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 100) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, *, n: int = 5, threshold: str | float = "0.8", id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 100,
+    slot_bits: int = SKETCH_BITS, known: int = KNOWN, counted: int = COUNTED, hot_list: int = HOT_LIST, class_block: int = CLASS_BLOCK,
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of docs.
 
     ``threshold`` is taken as an exact decimal. Sets are of n-word shingles of the text with A-Z in lower case; a text of
     fewer words is one shingle. ``component_id`` is the smallest id that links reach; ``n_links`` counts the other rows
-    that the row's set is similar to, its copies included.
+    that the row's set is similar to, its copies included. The other parameters bound tables, lists and groups; no value of
+    them changes the result.
 
     * A null text, or one without words, has an empty set and is linked with nothing: its component is its own id.
     * A row with a null id has a null component and links with nothing.
     * Rows that repeat an id are one document: their components are one, and each row is returned.
+    * A text of any length is taken as a whole; about 50 bytes a byte of it are held at once.
     * Other columns of docs are not read, whatever their names. An empty table gives an empty result.
     """
     t = Fraction(str(threshold))
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = min(4096, max(16, base.rdd.getNumPartitions() // 2))
-    surveyed = checkpointed(base.mapInArrow(released(_survey(n, parts)), "doc_id long, n_shingles long, d1 long, d2 long, part int, tokens binary, counts binary"))
-    sketch = spark.sparkContext.broadcast(_table(surveyed, parts))
+    surveyed = checkpointed(base.mapInArrow(released(_survey(n, parts, counted)), "doc_id long, n_shingles long, d1 long, d2 long, part int, tokens binary, counts binary"))
+    sketch = spark.sparkContext.broadcast(_table(surveyed, parts, slot_bits, known))
     rows = surveyed.where("part is null").select("doc_id", "n_shingles", "d1", "d2")
     nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n_shingles").alias("n"))
     nodes = checkpointed(nodes)
 
-    posted = base.where("doc_id is not null").select("text").mapInArrow(released(_postings(n, t, per_bucket, sketch)), "token long, node long, size int, hist binary")
+    posted = base.where("doc_id is not null").select("text").mapInArrow(released(_postings(n, t, per_bucket, sketch, hot_list)), "token long, node long, size int, hist binary")
     dealt = posted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
     candidates = dealt.mapInArrow(released(_meet(t)), "a long, b long").distinct()
     classes = connected_components(candidates)
 
     members = nodes.join(classes.withColumnRenamed("node", "d1"), "d1")
-    extent = members.groupBy("root").agg(F.sum("n").alias("weight"), F.count("*").alias("n_members")).where("n_members > 1").select("root", F.ceil(F.col("weight") / CLASS_BLOCK).cast("int").alias("k"))
+    extent = members.groupBy("root").agg(F.sum("n").alias("weight"), F.count("*").alias("n_members")).where("n_members > 1").select("root", F.ceil(F.col("weight") / class_block).cast("int").alias("k"))
     members = checkpointed(members.join(extent, "root").select(F.col("rep").alias("doc_id"), "d1", "d2", "mult", "root", "k"))
     found = base.join(small_or_plain(members), "doc_id")
     block = F.pmod(F.xxhash64("d1", "d2"), F.col("k")).cast("int")
