@@ -5,11 +5,13 @@ from __future__ import annotations
 import logging
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checkpoints import checkpointed
+from .fps import ONE_GROUP_BYTES
 
 log = logging.getLogger(__name__)
 
@@ -73,38 +75,80 @@ def _added(batches):
 _SUMS = "start long, cluster long, n long, cost double, total array<double>"
 
 
-def lloyd(df: DataFrame, centres, rounds: int = 300, tolerance: float = 1e-6) -> tuple[np.ndarray, DataFrame]:
+def lloyd(df: DataFrame, centres, rounds: int = 300, tolerance: float = 1e-6, budget: int = ONE_GROUP_BYTES) -> tuple[np.ndarray, DataFrame]:
     """Centres and assigned rows of the best of several starts (a list of centre matrices, or one).
 
-    All starts are fitted in the same passes, each until no centre moves further than tolerance; rounds is a bound that
-    is warned about when it is met. The start with the least sum of squared distances wins, the first among equals. The
-    driver gets a row for each start and cluster in a round.
+    Each start is fitted until no centre moves further than tolerance; rounds is a bound that is warned about when it is
+    met. The start with the least sum of squared distances wins, the first among equals. While the rows of all starts fit
+    the budget a start is one group; beyond it the starts are fitted in the same passes over the distributed rows.
     """
     starts = [np.asarray(c, float) for c in (centres if isinstance(centres, list) else [centres])]
     df = checkpointed(df)
     features = df.select(F.col("features").cast("array<double>").alias("features"))
+    width = starts[0].shape[1] if len(starts[0]) else 0
+    small = df.count() * width * 8 * len(starts) <= budget
+    fitted, cost, open_ = (_fit_groups if small else _fit_passes)(features, starts, rounds, tolerance)
+    if open_:
+        log.warning("%d of %d k-means starts had not converged after %d rounds", open_, len(starts), rounds)
+    best = min(range(len(starts)), key=lambda i: (cost[i], i))
+    return fitted[best], assign(df, fitted[best])
+
+
+def _fit_groups(features: DataFrame, starts: list[np.ndarray], rounds: int, tolerance: float) -> tuple[list[np.ndarray], list[float], int]:
+    """Centres and costs of each start, and how many hadn't converged; the rows of a start are one group."""
+
+    def fit(key, pdf):
+        x = np.vstack(pdf["features"].to_numpy())
+        x = x[np.lexsort(x.T[::-1])]  # sums don't depend on how rows were dealt
+        c, own = starts[key[0]].copy(), (x**2).sum(1)
+        moved = np.inf
+        for _ in range(rounds):
+            d = own[:, None] + (c**2).sum(1)[None, :] - 2 * x @ c.T
+            k = d.argmin(1)
+            order = np.argsort(k, kind="stable")
+            begin = np.flatnonzero(np.diff(k[order], prepend=-1))
+            new = c.copy()
+            new[k[order][begin]] = np.add.reduceat(x[order], begin) / np.diff(np.append(begin, len(x)))[:, None]
+            moved = ((new - c) ** 2).sum(1).max()
+            cost = float(np.maximum(d[np.arange(len(x)), k], 0).sum())
+            c = new
+            if moved <= tolerance**2:
+                break
+        return pd.DataFrame({"start": key[0], "cluster": np.arange(len(c)), "cost": cost, "open": bool(moved > tolerance**2), "centre": c.tolist()})
+
+    every = features.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(len(starts) - 1))))
+    rows = every.groupBy("start").applyInPandas(fit, "start int, cluster long, cost double, open boolean, centre array<double>").orderBy("start", "cluster").collect()
+    fitted, cost, open_ = list(starts), [0.0] * len(starts), set()
+    for i in {r.start for r in rows}:
+        own = [r for r in rows if r.start == i]
+        fitted[i], cost[i] = np.array([r.centre for r in own]), own[0].cost
+        open_ |= {i} if own[0].open else set()
+    return fitted, cost, len(open_)
+
+
+def _fit_passes(features: DataFrame, starts: list[np.ndarray], rounds: int, tolerance: float) -> tuple[list[np.ndarray], list[float], int]:
+    """The same by passes over distributed rows; the driver gets a row for each start and cluster in a round."""
+    fitted = list(starts)
     moving = dict(enumerate(starts))
-    cost: dict[int, float] = {}
+    cost = [0.0] * len(starts)
     for _ in range(rounds):
-        shared = df.sparkSession.sparkContext.broadcast(moving)
+        shared = features.sparkSession.sparkContext.broadcast(moving)
         merged = features.mapInArrow(_sums(shared), _SUMS).repartition("start", "cluster").mapInArrow(_added, _SUMS)
         new = {i: c.copy() for i, c in moving.items()}
-        cost |= dict.fromkeys(moving, 0.0)
+        for i in moving:
+            cost[i] = 0.0
         for r in merged.collect():
             new[r.start][r.cluster] = np.array(r.total) / r.n
             cost[r.start] += r.cost
         for i, c in list(moving.items()):
-            starts[i] = new[i]
+            fitted[i] = new[i]
             if not len(c) or ((new[i] - c) ** 2).sum(1).max() <= tolerance**2:
                 moving.pop(i)
             else:
                 moving[i] = new[i]
         if not moving:
             break
-    else:
-        log.warning("%d of %d k-means starts had not converged after %d rounds", len(moving), len(starts), rounds)
-    best = min(range(len(starts)), key=lambda i: (cost.get(i, 0.0), i))
-    return starts[best], assign(df, starts[best])
+    return fitted, cost, len(moving)
 
 
 def uncovered(assigned: DataFrame) -> DataFrame:

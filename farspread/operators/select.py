@@ -38,10 +38,13 @@ def select_diverse(cand: DataFrame, n_select: int, seed: DataFrame | None = None
     if seed is not None:
         both = both.unionByName(seed.select((-F.monotonically_increasing_id() - 1).alias("pos"), "features", F.lit(True).alias("is_seed")))
     both = checkpointed(both)
-    starts = [fps(both, k, allow_zero=True).join(both, "pos").orderBy("rank").select("features")]
     many = n_init if n + (0 if seed is None else seed.count()) <= minibatch_threshold else min(n_init, 3)
-    starts += [sample(both, k, F.col("pos"), random_state + i).orderBy("pos").select("features") for i in range(1, many)]
-    _, assigned = clusters.lloyd(both, [as_matrix([r.features for r in s.collect()]) for s in starts], rounds)  # k rows each
+    first = fps(both, k, allow_zero=True).join(both, "pos").select(F.lit(0).alias("start"), F.col("rank").alias("at"), "features")
+    for i in range(1, many):
+        first = first.unionByName(sample(both, k, F.col("pos"), random_state + i).select(F.lit(i).alias("start"), F.col("pos").alias("at"), "features"))
+    rows = first.orderBy("start", "at").collect()  # k rows a start
+    starts = [as_matrix([r.features for r in rows if r.start == i]) for i in range(many)]
+    _, assigned = clusters.lloyd(both, starts, rounds)
     assigned = checkpointed(assigned)
     reps = checkpointed(clusters.representatives(clusters.uncovered(assigned), per_cluster, second_pick))
     count = reps.count()

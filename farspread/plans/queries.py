@@ -187,12 +187,13 @@ def round2_select(spark, sf_dir):
     return six(select_diverse(c, N_SELECT, first, method="fps"))
 
 
-@query("SELECT 0::BIGINT AS n_shared")
+@query(f"WITH RECURSIVE {_E}, {_ROUND1}, r1 AS (SELECT pos, f FROM s WHERE pick), c2 AS (SELECT pos, f, (SELECT min(list_distance(b.f, r1.f) ** 2) FROM r1) AS d0 FROM b WHERE pos NOT IN (SELECT pos FROM r1)), {_fps('c2', 'd0', N_SELECT, 'd0', 't')} SELECT (SELECT count(*) FROM t WHERE pick) AS n_second, (SELECT count(*) FROM t JOIN r1 USING (pos) WHERE t.pick) AS n_shared")
 def round_overlap(spark, sf_dir):
     c = candidates(spark, sf_dir).select("pos", "features")
     picked = fps(c, N_SELECT).select("pos")
     second = round2_select(spark, sf_dir).select(F.col("vec_id").alias("pos"))
-    return picked.intersect(second).agg(F.count("*").alias("n_shared"))
+    both = second.join(picked.withColumn("first", F.lit(1)), "pos", "left")
+    return both.agg(F.count("*").alias("n_second"), F.count("first").alias("n_shared"))
 
 
 # ------------------------------------------------------------------ pools

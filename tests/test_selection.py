@@ -114,8 +114,9 @@ def test_k_means_against_numpy(spark):
         return new, ((x[:, None] - new[None]) ** 2).sum(2).min(1).sum()
 
     want = min((by_hand(s) for s in starts), key=lambda r: r[1])
-    centres, assigned = lloyd(frame(spark, x).repartition(3), starts)
-    assert np.allclose(centres, want[0]) and abs(sum(r.center_d2 for r in assigned.collect()) - want[1]) < 1e-6
+    for how in ({}, {"budget": 0}):
+        centres, assigned = lloyd(frame(spark, x).repartition(3), starts, **how)
+        assert np.allclose(centres, want[0]) and abs(sum(r.center_d2 for r in assigned.collect()) - want[1]) < 1e-6
 
 
 def test_diagnostics(spark):
