@@ -17,6 +17,8 @@ ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstu
 
 #: Bytes of rows of a few numbers that may be broadcast.
 BROADCAST_BYTES = 24_000_000
+#: Rows of two numbers that one task of a round of connected components handles, at least.
+TASK_ROWS = 20_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,16 +111,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     both = checkpointed(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
+    parts = -(-both.count() // TASK_ROWS) or 1
+    kept = lambda df: checkpointed(df.coalesce(parts))  # noqa: E731  no more tasks a round than its rows need
+    both = both.coalesce(parts)
+    labels = kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
     while True:
         near = small_or_plain(labels.select(F.col("node").alias("v"), "root"))
         around = both.join(near, "v").groupBy("u").agg(F.min("root").alias("m"))
-        hooked = labels.join(around, F.col("node") == F.col("u")).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        hooked = checkpointed(hooked)
+        hooked = kept(labels.join(around, F.col("node") == F.col("u")).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root")))
         # Labels of the roots alone, one row each: a component of any size is not gathered at its root.
         roots = hooked.select("root").distinct().withColumnRenamed("root", "node")
-        target = checkpointed(hooked.join(roots, "node").select(F.col("node").alias("root"), F.col("root").alias("next")))
-        jumped = checkpointed(hooked.join(small_or_plain(target), "root").select("node", "was", F.col("next").alias("root")))
+        target = kept(hooked.join(roots, "node").select(F.col("node").alias("root"), F.col("root").alias("next")))
+        jumped = kept(hooked.join(small_or_plain(target), "root").select("node", "was", F.col("next").alias("root")))
         changed = jumped.where("root <> was").limit(1).count()
         labels = jumped.select("node", "root")
         if not changed:

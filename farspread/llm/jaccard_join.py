@@ -81,6 +81,12 @@ def _blocks(levels: np.ndarray, hot_list: int) -> np.ndarray:
     return np.clip(np.ceil(2.0 ** ((levels.astype(float) - 1) / _STEPS) / hot_list), 2, MOST_BLOCKS).astype(np.int64)
 
 
+def _per_bucket(t: Fraction) -> int:
+    """Tokens a bucket of the histograms: with m a bucket, those of two unrelated sets differ by about 0.57 / sqrt(m) of their
+    sizes, and that must be well over (1 - t) / (1 + t), or any two sets that share a token would be candidates."""
+    return max(4, int((0.566 / (1.25 * float((1 - t) / (1 + t)))) ** 2)) if t < 1 else 1000
+
+
 def _histogram(tokens: np.ndarray, per: int) -> np.ndarray:
     """Counts of tokens by hash, as many buckets as a power of two, at least 16 and n / per."""
     m = 16
@@ -394,7 +400,7 @@ def _verify(n: int, t: Fraction, sketch):
 
 
 def jaccard_components(
-    docs: DataFrame, *, n: int = 5, threshold: str | float = "0.8", id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 100,
+    docs: DataFrame, *, n: int = 5, threshold: str | float = "0.8", id_col: str = "doc_id", text_col: str = "text", per_bucket: int | None = None,
     slot_bits: int = SKETCH_BITS, known: int = KNOWN, counted: int = COUNTED, hot_list: int = HOT_LIST, class_block: int = CLASS_BLOCK,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of docs.
@@ -411,6 +417,7 @@ def jaccard_components(
     * Other columns of docs are not read, whatever their names. An empty table gives an empty result.
     """
     t = Fraction(str(threshold))
+    per_bucket = per_bucket or _per_bucket(t)
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = min(4096, max(16, base.rdd.getNumPartitions() // 2))
