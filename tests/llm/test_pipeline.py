@@ -43,6 +43,14 @@ def kept_in(docs):
     return collections.Counter((r.doc_id, r.text) for r in docs.collect())
 
 
+def root(f, low, high):
+    """Where a rising function passes 0."""
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if f(middle) < 0 else (low, middle)
+    return high
+
+
 def fitted_by_hand(rows):
     """Probabilities of rows (source, lang, topic, tokens) by raking in numpy."""
     keys = ("source", "lang", "topic")
@@ -54,14 +62,17 @@ def fitted_by_hand(rows):
     marginals = []
     for i, k in enumerate(keys):
         own = {c: [j for j, n in enumerate(names) if n[i] == c] for c in {n[i] for n in names}}
-        want = {c: queries.MIXTURE[k].get(c, queries.OTHERS) if tokens[j].sum() > 0 else 0.0 for c, j in own.items()}
-        marginals.append([(j, want[c] / sum(want.values())) for c, j in own.items()])
+        want = np.array([queries.MIXTURE[k].get(c, queries.OTHERS) if tokens[j].sum() > 0 else 0.0 for c, j in own.items()])
+        most = np.array([mixing.MOST_RATIO * tokens[j].sum() / tokens.sum() for j in own.values()])
+        scale = root(lambda x: np.minimum(x * want / want.sum(), most).sum() - 1, 0.0, 1e6)
+        marginals.append([*zip(own.values(), np.minimum(scale * want / want.sum(), most), strict=True)])
     for _ in range(400):
         for m in marginals:
             for j, share in m:
                 fitted[j] *= tokens.sum() * share / fitted[j].sum() if fitted[j].sum() > 0 else 0.0
-    ratio = np.divide(fitted, tokens, out=np.zeros_like(fitted), where=tokens > 0)
-    return dict(zip(names, ratio / ratio.max(), strict=True))
+    ceiling = root(lambda c: mixing.SLACK * fitted.sum() - np.maximum(0, fitted - c * tokens).sum(), 0.0, 1e6)
+    p = np.minimum(np.divide(fitted, tokens * ceiling, out=np.zeros_like(fitted), where=tokens > 0), 1)
+    return dict(zip(names, p, strict=True))
 
 
 def test_every_stage(spark, made):
