@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.config import Box, Sampling, Selection, Stream
 from ..functions.errors import DescriptorMismatchError, FeatureTableError, SpeciesError, VacuumTooSmallError
 from ..functions.identity import cache_key, descriptor_id, require_compatible
-from ..functions.provenance import provenance_key
+from ..functions.provenance import provenance_key, split_source
 from ..functions.species import SYMBOLS, hill_formula, unsupported
 from ..functions.vectors import l2_normalize
 from ..operators.box import needs_cell, with_cells
 from ..operators.checkpoints import checkpointed
-from ..operators.describe import basename_collisions, check_coverage, lookup, numbered, select_group, status
+from ..operators.describe import basename_collisions, check_coverage, lookup, missing, numbered, select_group, status
 from ..operators.featurizers import Featurizer
 from ..operators.ordering import shuffle_key, stride, with_position
 from ..operators.select import finite_range, select_diverse, shortfall
@@ -130,6 +130,25 @@ def seed_vectors(spark: SparkSession, paths: list[str], identity: dict, featuriz
     return out
 
 
+def seed_lookup(spark: SparkSession, paths: list[str], table: DataFrame, own_id: str, normalize: str) -> DataFrame:
+    """(features, source_file) of earlier selections from the run's own table of vectors, found by the frame that a stamp names.
+
+    A file without stamps is looked up by its own name. Files stamped by another descriptor, and frames that the table
+    lacks, are refused.
+    """
+    paths = files.expand_patterns(paths)
+    frames = load(spark, paths)
+    found = {r[0] for r in frames.select(F.col("info")["spread_descriptor_id"]).distinct().limit(5).collect()} - {None}
+    if found - {own_id}:
+        raise DescriptorMismatchError(f"the seeds were described as {sorted(found)}, this run as {own_id}")
+    src = split_source(F.col("info")["spread_src"])
+    key = F.when(F.col("info")["spread_src"].isNotNull(), provenance_key(src["source_file"], src["frame"])).otherwise(provenance_key(F.col("source_file"), F.col("frame_index")))
+    rows = frames.select("source_file", key.alias("key"))
+    if lost := missing(rows, table.where("valid")).select("key").limit(5).collect():
+        raise FeatureTableError(f"the table has no vectors of the seeds {[r.key for r in lost]}")
+    return rows.join(table, "key").select(l2_normalize(F.col("features"), normalize).alias("features"), "source_file")
+
+
 def run(spark: SparkSession, patterns: list[str], out: str, *, selection: Selection | None = None, featurizer: Featurizer | None = None, features: str | None = None, group: str | None = None, sampling: Sampling | None = None, box: Box | None = None, stream: Stream | None = None, seeds: list[str] | None = None, cache: str | None = None, normalize: str = "l2", save_features: str | None = None, on_invalid: str = "error", on_unknown: str = "error", on_small_vacuum: str = "error") -> dict:
     """Describes the frames into out/frames.parquet and, given a selection, writes out/selected.parquet, selected.extxyz and the manifest, which is returned.
 
@@ -161,9 +180,7 @@ def run(spark: SparkSession, patterns: list[str], out: str, *, selection: Select
         cand = good.select(F.col("row").alias("pos"), "features")
         seed = None
         if seeds:
-            if featurizer is None or features is not None:
-                raise FeatureTableError("seeds are described by a featurizer; precomputed vectors don't hold them")
-            seed = seed_vectors(spark, seeds, identity, featurizer, box, normalize, cache)
+            seed = seed_lookup(spark, seeds, table, own_id, normalize) if features is not None else seed_vectors(spark, seeds, identity, featurizer, box, normalize, cache)
         s = selection
         seed = None if seed is None else checkpointed(seed)
         if stream is not None and features is None:

@@ -67,10 +67,29 @@ def test_run_and_seeded_round(spark, structures, tmp_path):
     assert main(["select", "--traj", structures, "--species", "C", "H", "--on_unknown_species", "skip", "--out", again, *seeded, "--r_cut", "4", "--n_max", "2"], spark) == 2
     assert main(["select", "--traj", structures, "--input_features", out, "--out", again, "--n_select", "5", "--method", "fps"], spark) == 0
     assert [r.frame_index for r in spark.read.parquet(f"{again}/selected.parquet").orderBy("rank").collect()] == [r.frame_index for r in rows]
+    # seeds by the vectors of an earlier run
+    reused = ["select", "--traj", structures, "--input_features", out, "--out", again, "--n_select", "4", "--selected_images", f"{out}/selected.extxyz"]
+    for method in ("fps", "kmeans"):
+        assert main([*reused, "--method", method], spark) == 0
+        manifest = json.load(open(f"{again}/run_manifest.json"))
+        assert manifest["seed_set"]["rows"] == 5 and list(manifest["seed_set"]["rows_per_file"].values()) == [5] and manifest["inputs"][0]["size_bytes"] > 0
+        third = {r.frame_index for r in spark.read.parquet(f"{again}/selected.parquet").collect()}
+        assert len(third) == 4 and not third & {r.frame_index for r in rows}
+    assert main([*reused, "--method", "fps", "--normalize", "none"], spark) in (0, 2)
+    for method in ("fps", "kmeans"):
+        assert main(["select", *args, "--out", again, "--n_select", "5", "--method", method, "--batch_size", "10", "--pool_stage", "random", "--kmeans_n_init", "2"], spark) == 0
+        assert spark.read.parquet(f"{again}/selected.parquet").select("frame_index").distinct().count() == 5
+    exported = str(tmp_path / "table")
+    assert main(["describe", *args, "--out", again, "--save_features", exported], spark) == 0
+    assert main(["select", "--traj", structures, "--input_features", exported, "--out", str(tmp_path / "r3"), "--n_select", "3", "--on_invalid_features", "skip"], spark) == 2  # the table lacks the frame that was skipped
+    assert main(["select", *args, "--no_scan", "--out", again, "--n_select", "5"], spark) == 2  # a shuffle needs the scan
+    assert main(["describe", *args, "--out", again, "--vacuum", "1"], spark) == 2  # twice the vacuum is less than the cutoff
     assert main(["select", *args, "--out", again, "--n_select", "5", "--method", "fps", "--batch_size", "10"], spark) == 0
     assert spark.read.parquet(f"{again}/selected.parquet").select("frame_index").distinct().count() == 5
     assert main(["plot", "--out", out, "--embed_max_points", "10"], spark) == 0
     assert spark.read.parquet(f"{out}/embedding.parquet").where("selected").count() == 5
+    assert 0 < json.load(open(f"{out}/embedding.json"))["trustworthiness"] <= 1
+    assert {r.panel for r in spark.read.parquet(f"{out}/diagnostics.parquet").select("panel").distinct().collect()} == {"distances", "scree", "coverage", "cdf"}
 
 
 def test_gather_command(spark, structures, tmp_path):
