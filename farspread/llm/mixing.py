@@ -18,7 +18,7 @@ from .common import checkpointed
 ONE_TASK_CELLS = 200_000
 SEED = "mix"
 #: A category's target is at most so many times its share of the tokens; what cells may lack of the mixture's tokens.
-MOST_RATIO, SLACK = 2.0, 0.01
+MOST_RATIO, SLACK = 2.0, 0.002
 #: Raking goes on until no marginal's share is further from its target than this, or for so many rounds.
 TOLERANCE = 1e-10
 ROUNDS = 150
