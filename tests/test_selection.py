@@ -221,3 +221,20 @@ def test_xyz_source(spark, tmp_path):
     bad.write_text("3\n\nC 0 0 0\n")
     with pytest.raises(ScanError):
         xyz.scan(str(bad))
+
+
+def test_micro_batches(spark, tmp_path):
+    from farspread.streaming.pool import Pool, stream_fps
+
+    x = np.random.default_rng(11).normal(size=(60, 3))
+    for i in range(3):
+        frame(spark, x[20 * i : 20 * i + 20], 20 * i).coalesce(2).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("pos long, features array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    pool = stream_fps(source, 4, 5, str(tmp_path / "state"), cap=12)
+    batches = len(list((tmp_path / "state" / "offsets").glob("[0-9]*")))
+    assert batches > 1 and len(pool.pos) == min(12, 5 * batches) and len({*pool.pos.tolist()}) == len(pool.pos) and pool.evictions == max(0, batches - 2)
+    assert np.allclose(pool.features, x[pool.pos]) and len(pool.final(4).indices) == 4
+    # a batch gives what its rows give together, however they are dealt
+    one = Pool(40)
+    one.add(np.arange(20), x[:20], 5)
+    assert one.pos.tolist() == greedy(x[:20], 5).indices.tolist()
