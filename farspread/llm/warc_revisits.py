@@ -23,14 +23,15 @@ def _plain_escapes(part: Column) -> Column:
     known = lambda x: x.rlike("^[0-9A-Fa-f]{2}")
     char = lambda x: F.when(code(x).rlike(_UNRESERVED), F.decode(F.unhex(code(x)), "UTF-8")).otherwise(F.concat(F.lit("%"), code(x)))
     fixed = lambda x, i: F.when(i == 0, x).when(known(x), F.concat(char(x), x.substr(F.lit(3), F.length(x)))).otherwise(F.concat(F.lit("%"), x))
-    return F.array_join(F.transform(F.split(part, "%", -1), fixed), "")
+    return F.when(F.contains(part, F.lit("%")), F.array_join(F.transform(F.split(part, "%", -1), fixed), "")).otherwise(part)
 
 
 def _without_dots(path: Column) -> Column:
     """A path without . and .. segments."""
     step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(x)))
     segments = F.split(path, "/", -1)
-    return F.array_join(F.aggregate(F.slice(segments, 2, F.size(segments)), F.slice(segments, 1, 1), step), "/")
+    plain = F.array_join(F.aggregate(F.slice(segments, 2, F.size(segments)), F.slice(segments, 1, 1), step), "/")
+    return F.when(F.contains(path, F.lit("/.")), plain).otherwise(path)
 
 
 def canonical_url(url: Column, *, host_prefix: str | None = None, dropped: str | None = None) -> Column:
