@@ -663,3 +663,34 @@ def test_bounded_shards_and_blocks(spark, monkeypatch):
             want = bm25(counts, by[i], 7)
             assert np.allclose(state.score[q], [-w[0] for w in want], atol=3e-6)
             assert state.best[q].tolist() == [w[1] for w in want] or min(abs(a[0] - b[0]) for a, b in zip(want, want[1:], strict=False)) < 3e-6
+
+
+def test_search_ways_of_scoring(monkeypatch):
+    """Terms by product, by queries and documents at once, and by postings: all give the scores of brute force."""
+    import math
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    data = [(i, " ".join(rng.choices([f"v{j}" for j in range(200)], [1 / (j + 1) for j in range(200)], k=rng.randint(1, 50)))) for i in range(300)]
+    counts = [(i, collections.Counter(t.split())) for i, t in data]
+    dfs = collections.Counter(w for _, c in counts for w in c)
+    hashed = {w: topk_search.word_hashes([w])[0][0] for w in dfs}
+    asked = [(i, c) for i, c in counts if i % 10 == 0]
+    rows = [sorted((int(hashed[w]), math.log(1 + (300 - dfs[w] + 0.5) / (dfs[w] + 0.5)) * tf) for w, tf in c.items()) for _, c in asked]
+    vocabulary, number = np.unique(np.array([h for r in rows for h, _ in r], np.uint64), return_inverse=True)
+    first = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    queries = (np.array([i for i, _ in asked]), first, vocabulary, number, np.array([w for r in rows for _, w in r]))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in data]), pa.array([t for _, t in data])], names=["doc_id", "text"])
+    for dense, outer in ((2.0, 1), (2.0, 10**9), (0.0, 1), (0.05, 30)):
+        for change in ({"BLOCK": 8, "SPAN": 1}, {"BLOCK": 8, "SPAN": 3, "GROUP": 7}):
+            with monkeypatch.context() as m:
+                for key, v in {"DENSE": dense, "OUTER": outer, **change}.items():
+                    m.setattr(topk_search, key, v)
+                state = topk_search._Search(queries, 5, sum(c.total() for _, c in counts) / 300)
+                for b in topk_search._index(iter([batch])):
+                    state.add(b.column(0)[0].as_py())
+            for q, (_, c) in enumerate(asked):
+                assert np.allclose(state.score[q], [-w[0] for w in bm25(counts, c, 5)], atol=3e-6)
