@@ -105,10 +105,11 @@ def _survey(n: int, parts: int, counted: int):
 
     def common(held):
         tokens = np.concatenate(held)
+        held.clear()
         tokens.sort()
+        tokens = tokens[1:][tokens[1:] == tokens[:-1]]  # of each token all but one
         start, end = runs(tokens)
-        often = end - start > 1
-        tokens, counts = tokens[start[often]], (end - start)[often].astype(np.uint32)
+        tokens, counts = tokens[start], (end - start + 1).astype(np.uint32)
         cut = np.searchsorted(_part(tokens, parts), np.arange(parts + 1))
         rows = [(i, tokens[x:y].tobytes(), counts[x:y].tobytes()) for i, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
         if rows:
@@ -126,7 +127,7 @@ def _survey(n: int, parts: int, counted: int):
             size += sum(map(len, sets))
             if size > counted:
                 yield from common(held)
-                held, size = [], 0
+                size = 0
         if size:
             yield from common(held)
 

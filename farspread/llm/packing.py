@@ -31,7 +31,7 @@ from .common import checkpointed, record_batch, released, slices, small_or_plain
 
 END_ID = 2
 #: Entries of each of the two generations of a worker's memo of word encodings.
-MEMO = 500_000
+MEMO = 100_000
 #: Groups of equal cardinality that large lengths are rounded up in.
 GROUPS = 256
 #: Characters of a text that are cut into words at once.

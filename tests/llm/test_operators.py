@@ -694,3 +694,24 @@ def test_search_ways_of_scoring(monkeypatch):
                     state.add(b.column(0)[0].as_py())
             for q, (_, c) in enumerate(asked):
                 assert np.allclose(state.score[q], [-w[0] for w in bm25(counts, c, 5)], atol=3e-6)
+
+
+def test_memory_of_workers():
+    """What a worker keeps of the words that it has encoded, and what the survey of common tokens holds at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    import public_tokenizers
+
+    encoder = packing._Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    for i in range(0, 300_000, 1000):
+        encoder.encode(" ".join(f"{j:x}q" for j in range(i, i + 1000)))
+    assert len(encoder.memo) + len(encoder.old) <= 250_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([" ".join(f"{i}x{j}" for j in range(2500)) for i in range(400)])], names=["doc_id", "text"])
+    survey = jaccard_join._survey(3, 16, 4_000_000)
+    tracemalloc.start()
+    got = list(survey(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in got) == 400 and peak < 5 * 8 * 400 * 2498, peak / (8 * 400 * 2498)
