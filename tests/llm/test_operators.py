@@ -715,3 +715,39 @@ def test_memory_of_workers():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(b.num_rows for b in got) == 400 and peak < 5 * 8 * 400 * 2498, peak / (8 * 400 * 2498)
+
+
+def test_search_passes_other_languages(monkeypatch):
+    """Documents of four vocabularies that share some words: blocks of another vocabulary aren't scored, the scores are brute force's."""
+    import math
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    shared = [f"s{j}" for j in range(20)]
+    vocabularies = [[f"{a}{j}" for j in range(400)] for a in "pqrt"]
+    share = [1 / (j + 1) for j in range(400)]
+    data = [(i, " ".join(rng.choices(vocabularies[i % 4], share, k=rng.randint(20, 80)) + rng.choices(shared, k=3))) for i in range(1600)]
+    counts = [(i, collections.Counter(t.split())) for i, t in data]
+    dfs = collections.Counter(w for _, c in counts for w in c)
+    hashed = {w: topk_search.word_hashes([w])[0][0] for w in dfs}
+    asked = [(i, c) for i, c in counts if i % 20 < 4]
+    rows = [sorted((int(hashed[w]), math.log(1 + (1600 - dfs[w] + 0.5) / (dfs[w] + 0.5)) * tf) for w, tf in c.items()) for _, c in asked]
+    vocabulary, number = np.unique(np.array([h for r in rows for h, _ in r], np.uint64), return_inverse=True)
+    first = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    queries = (np.array([i for i, _ in asked]), first, vocabulary, number, np.array([w for r in rows for _, w in r]))
+    for key, v in {"BLOCK": 32, "SHARD_DOCS": 800, "GROUP": 40}.items():
+        monkeypatch.setattr(topk_search, key, v)
+    scored = []
+    keep = topk_search._Search._keep
+    monkeypatch.setattr(topk_search._Search, "_keep", lambda self, queries, ids, sums, *rest: (scored.append(sums.size), keep(self, queries, ids, sums, *rest)))
+    state = topk_search._Search(queries, 5, sum(c.total() for _, c in counts) / 1600)
+    for i in (0, 800):
+        batch = pa.RecordBatch.from_arrays([pa.array([j for j, _ in data[i : i + 800]]), pa.array([t for _, t in data[i : i + 800]])], names=["doc_id", "text"])
+        for b in topk_search._index(iter([batch])):
+            state.add(b.column(0)[0].as_py())
+    assert sum(scored) < 0.5 * len(asked) * 1600, sum(scored) / (len(asked) * 1600)
+    for q, (_, c) in enumerate(asked):
+        assert np.allclose(state.score[q], [-w[0] for w in bm25(counts, c, 5)], atol=3e-6)
