@@ -54,12 +54,15 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def least_squared_distances(x: np.ndarray, s: np.ndarray | None, chunk: int = 256) -> np.ndarray:
-    """Of each row the squared distance to the nearest of s, block by block; inf without any."""
+    """Of each row the squared distance to the nearest of s, block by block; inf without any.
+
+    The nearest of a block is found by products and its distance by differences, so that a row of s itself has 0.
+    """
     out = np.full(len(x), np.inf)
     for i in range(0, 0 if s is None else len(s), chunk):
         part = s[i : i + chunk]
         d = (x**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2 * x @ part.T
-        np.minimum(out, np.maximum(d, 0).min(1), out=out)
+        np.minimum(out, ((x - part[d.argmin(1)]) ** 2).sum(1), out=out)
     return out
 
 

@@ -119,6 +119,18 @@ def test_k_means_against_numpy(spark):
         assert np.allclose(centres, want[0]) and abs(sum(r.center_d2 for r in assigned.collect()) - want[1]) < 1e-6
 
 
+def test_distance_to_itself_is_zero():
+    from farspread.operators.fps import least_squared_distances
+
+    rng = np.random.default_rng(11)
+    for d in (3, 5, 17):
+        x = rng.normal(100, 1, size=(600, d))
+        assert (least_squared_distances(x, x[::2])[::2] == 0).all()
+        want = ((x[:, None] - x[None, ::2]) ** 2).sum(2).min(1)
+        assert np.allclose(least_squared_distances(x, x[::2]), want, rtol=1e-9, atol=1e-12)
+    assert np.isinf(least_squared_distances(x, None)).all()
+
+
 def test_diagnostics(spark):
     from farspread.operators import diagnostics, nearest
 
